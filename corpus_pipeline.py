@@ -1,8 +1,73 @@
-"""A training-data pipeline over documents (completed with its operators)."""
+"""A training-data pipeline over ``documents``: language ID, SimHash near-dedup, PII redaction, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns the columns of
+documents; the last returns packed pieces. Empty tables pass through; null texts are rejected by the first stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.llm.langid import UNKNOWN, identify
+from memlake.llm.mixing import mix
+from memlake.llm.packing import pack_documents
+from memlake.llm.pii import redact
+from memlake.llm.shared import staged
+from memlake.llm.simhash import simhash_groups
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SCORE = 0.4
+
+
+def _matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised: they have letters, and the calibrated score is LEAST_SCORE or more."""
+    found = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _matching(docs, found.select("doc_id"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; rows that repeat an id count as one."""
+    groups = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id"))
+    return _matching(docs, groups.select("doc_id")).dropDuplicates(["doc_id"])
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often (0 to 3 times) as the mix takes it."""
+    taken = mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies"))
+    each = docs.select(*COLUMNS).join(taken, "doc_id")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("simhash_dedup", keep_one_of_each_group),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Stages such as the trained language model and the packing search are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; what each returns is written and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,8 +21,11 @@ MOST_COPIES = 3
 DP_BUDGET = 1 << 17
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = 42) -> np.ndarray:
-    """How many documents of each size to take so that their sizes sum up to ``budget`` or as near below as found."""
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1, seed: int = 42) -> np.ndarray:
+    """How many documents of each size to take so that their sizes sum up to ``budget`` or as near below as found.
+
+    The last step may take each document up to ``copies`` times.
+    """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if budget <= 0 or total <= 0:
@@ -44,7 +47,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = 4
     left = min(left, DP_BUDGET)  # more only where all documents are taken
     reach, full, steps = 1, (1 << (left + 1)) - 1, []
     for i in order.tolist():
-        size, free = int(sizes[i]), int(min(counts[i] - take[i], left // max(int(sizes[i]), 1)))
+        size, free = int(sizes[i]), int(min(copies * counts[i] - take[i], left // max(int(sizes[i]), 1)))
         part = 1
         while size > 0 and free > 0:  # binary split of the bounded count
             part = min(part, free)
@@ -83,7 +86,7 @@ def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
     total, target = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
     budget = round(target)
     whole = min(MOST_COPIES, budget // total) if total else 0
-    extra = fit_budget(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), budget - whole * total if whole < MOST_COPIES else 0)
+    extra = fit_budget(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), budget - whole * total if whole < MOST_COPIES else 0, MOST_COPIES - whole)
     return pdf.assign(whole=whole, k=extra)[["source", "size", "n", "source_size", "target", "whole", "k"]]
 
 
@@ -103,18 +106,19 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     bits = F.ceil(F.log2(F.col("n") / 256)).cast("int")  # the hashes of one length in ranges of about 256
     q = quota.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "whole", "k", "n", F.greatest(bits, F.lit(0)).alias("bits"))
     h = F.xxhash64(F.lit(seed), "doc_id")
+    # k copies over n documents: each gets k / n, and the first k mod n one more
+    q = q.withColumn("whole", F.col("whole") + F.floor(F.col("k") / F.col("n"))).withColumn("k", F.col("k") % F.col("n"))
     each = sizes.join(q, sizes.source.eqNullSafe(q.s) & (sizes["size"] == q.z)).drop("s", "z").withColumn("h", h)
     # the sign bit is put last so that ranges are of unsigned hashes
     each = each.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)")))
-    split = (F.col("k") > 0) & (F.col("k") < F.col("n"))
-    spans = each.where(split).groupBy("source", "size", "range", "k").agg(F.count("*").alias("m"))
+    spans = each.where("k > 0").groupBy("source", "size", "range", "k").agg(F.count("*").alias("m"))
     below = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = spans.withColumn("below", below).where((F.col("below") < F.col("k")) & (F.col("below") + F.col("m") >= F.col("k")))
     edge = edge.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("last"), (F.col("k") - F.col("below")).alias("need"))
     each = each.join(edge, each.source.eqNullSafe(edge.s) & (each["size"] == edge.z), "left").drop("s", "z")
     each = staged(each, "mixed")
     at_edge = each.where("range = last").withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "row"))).withColumn("extra", (F.col("rank") <= F.col("need")).cast("long")).drop("rank")
-    rest = each.where("last is null or range <> last").withColumn("extra", F.when(F.col("last").isNotNull(), F.col("range") < F.col("last")).otherwise(F.col("k") >= F.col("n")).cast("long"))
+    rest = each.where("last is null or range <> last").withColumn("extra", F.coalesce(F.col("range") < F.col("last"), F.lit(False)).cast("long"))
     out = rest.unionByName(at_edge).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row")
 

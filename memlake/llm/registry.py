@@ -10,14 +10,22 @@ from .htmltext import op9_html
 from .langid import op10_langid
 from .mixing import op4_mixing
 from .packing import op1_packing
+from .pii import op2_pii
 from .ppm import op3_ppm
 from .simhash import op5_simhash
+from .topk import op8_topk
+from .urlgraph import op7_urls
+from .vectorlinks import op6_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_ppm": op3_ppm,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_vectors": op6_vectors,
+    "op7_urls": op7_urls,
+    "op8_topk": op8_topk,
     "op9_html": op9_html,
     "op10_langid": op10_langid,
 }

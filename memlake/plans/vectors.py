@@ -152,7 +152,7 @@ def _(spark, d):
 
 @plan("hv_permute", _BENCH + ", rot AS (SELECT id, (b * 32 + i + 37) % 256 AS j FROM hv, (SELECT unnest(range(8)) AS b), (SELECT unnest(range(32)) AS i) WHERE (hv[b + 1] >> i) & 1 = 1) SELECT id, CAST(count(*) AS BIGINT) AS ones, CAST(sum(j * (j + 1)) AS BIGINT) AS mark FROM rot GROUP BY id")
 def _(spark, d):
-    b = encoded(spark, d).select("id", F.explode(bits.bits_of(bits.rotate(F.col("hv"), 37, DIM))).cast("long").alias("j"))
+    b = encoded(spark, d).select("id", F.explode(bits.bits_of(bits.rotate(F.col("hv"), 37, DIM))).alias("j")).withColumn("j", F.col("j").cast("long"))
     return b.groupBy("id").agg(F.count("*").alias("ones"), F.sum(F.col("j") * (F.col("j") + 1)).alias("mark"))
 
 

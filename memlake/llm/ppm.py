@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching over bytes (operator 3).
 
-The trie holds every byte context of up to four bytes of the training texts with the counts of the
+The trie holds the byte contexts of up to five bytes of the training texts with the counts of the
 bytes that followed. A byte is coded in the longest context that the trie has; a byte not seen there
-costs an escape (method C: distinct / (total + distinct)) and is coded one byte shorter with the
+costs an escape (method D: distinct / (2 * total)) and is coded one byte shorter with the
 symbols already ruled out excluded from the counts, down to a uniform choice among the bytes never
 seen. A text's code ends with an end symbol, so scores of finished texts form a distribution.
 
@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 from .bytetext import LOWER, chunks, ranges, word_hashes, words
 from .shared import staged
 
-ORDER = 4
+ORDER = 5
 END = 0xFF  # never a byte of UTF-8
 END_WORD = np.uint64(0x5851F42D4C957F2C)
 HEAD_SHARE = 50_000
-MAX_GRAMS = 1 << 20
-MAX_CELLS = 1 << 25
+MAX_CONTEXTS = 1 << 17
 BUCKET_TOKENS = 500_000
 
 
@@ -130,7 +129,8 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.Record
 class Trie:
     """Log10 probabilities of every symbol in every kept context, with the transitions between contexts.
 
-    ``levels[k]`` has the keys (k context bytes, then the symbol; big end first) and counts of level k.
+    ``levels[k]`` has the keys (k context bytes, then the symbol; big end first) and counts of level k, for all k up to
+    ORDER. A kept context's suffixes must be kept too.
     """
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -147,40 +147,45 @@ class Trie:
         contexts = [np.unique(x // a) if k else np.zeros(1, np.int64) for k, x in enumerate(cell)]
         self.base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
         self.table = np.empty((int(self.base[-1]), a), np.float32)
-        escape = np.zeros(len(self.table))
+        escape = np.zeros(len(self.table), np.float32)
         for k, ctx in enumerate(contexts):
-            for lo in range(0, len(ctx), 1 << 14):
-                part = ctx[lo : lo + (1 << 14)]
+            for lo in range(0, len(ctx), 2048):
+                part = ctx[lo : lo + 2048]
                 counts = self._dense(cell[k], levels[k][1], part)
                 seen = counts > 0
-                total, distinct = counts.sum(1), seen.sum(1).astype(float)
-                esc = np.log10(np.maximum(distinct, 1) / np.maximum(total + distinct, 1))
+                total, distinct = counts.sum(1), seen.sum(1)
+                esc = np.log10(np.maximum(distinct, 1) / np.maximum(2 * total, 1))
                 if k == 0:
                     rest = np.where(seen[0], 0.0, -math.log10(257 - len(alphabet)))[None, :]
                 else:
                     up_ctx = part % a ** (k - 1) if k > 1 else np.zeros(len(part), np.int64)
                     up = self.base[k - 1] + np.searchsorted(contexts[k - 1], up_ctx)
-                    above = self._dense(cell[k - 1], levels[k - 1][1], up_ctx)
-                    free = np.where(seen, 0.0, above)
-                    left, kinds = free.sum(1), (free > 0).sum(1).astype(float)
-                    all_ = np.maximum(left + kinds, 1)
-                    on = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / all_), 0.0)
-                    rest = np.where(free > 0, np.log10(np.maximum(free, 1) / all_[:, None]), on[:, None] + self.table[up] - escape[up][:, None])
-                own = np.log10(np.maximum(counts, 1) / np.maximum(total + distinct, 1)[:, None])
+                    free = self._dense(cell[k - 1], levels[k - 1][1], up_ctx)
+                    free[seen] = 0
+                    left, kinds = np.maximum(2 * free.sum(1), 1), (free > 0).sum(1)
+                    on = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / left), 0.0) - escape[up]
+                    rest = on[:, None] + self.table[up]
+                    some = free > 0
+                    rest[some] = (np.log10(np.maximum(2 * free - 1, 1)) - np.log10(left)[:, None])[some]
+                rows = esc[:, None] + rest
+                own = np.log10(np.maximum(2 * counts - 1, 1)) - np.log10(np.maximum(2 * total, 1))[:, None]
                 at = self.base[k] + lo
-                self.table[at : at + len(part)] = np.where(seen, own, esc[:, None] + rest)
+                self.table[at : at + len(part)] = np.where(seen, own, rows)
                 escape[at : at + len(part)] = esc
-        self.second = self._second(contexts)
-        n3 = len(contexts[3])
-        self.fourth = np.full((n3 + 1, a), -1, np.int32)
-        if len(contexts[4]):
-            row = np.searchsorted(contexts[3], contexts[4] // a)
-            row = np.minimum(row, max(n3 - 1, 0))
-            ok = contexts[3][row] == contexts[4] // a if n3 else np.zeros(len(row), bool)
-            self.fourth[row[ok] + 1, contexts[4][ok] % a] = (self.base[4] + np.flatnonzero(ok)).astype(np.int32)
-        self.fourth = self.fourth.ravel()
+        self.third = self._third(contexts)
+        self.longer = [self._longer(contexts, k) for k in range(4, ORDER + 1)]
         self.table = self.table.ravel()
 
+    def _longer(self, contexts: list[np.ndarray], k: int) -> np.ndarray:
+        """From a context of k - 1 symbols (row 0: none) and the next symbol to the context of k, or -1."""
+        a, before = self.size, contexts[k - 1]
+        out = np.full((len(before) + 1, a), -1, np.int32)
+        if len(before) and len(contexts[k]):
+            row = np.minimum(np.searchsorted(before, contexts[k] // a), len(before) - 1)
+            ok = before[row] == contexts[k] // a
+            out[row[ok] + 1, contexts[k][ok] % a] = (self.base[k] + np.flatnonzero(ok)).astype(np.int32)
+        return out.ravel()
+
     def _dense(self, cells: np.ndarray, counts: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """The counts of all symbols after each of ``ctx``; ``cells`` is sorted by nothing but unique."""
         a = self.size
@@ -188,11 +193,11 @@ class Trie:
         own = cells // a
         at = np.minimum(np.searchsorted(uniq, own), len(uniq) - 1)
         ok = uniq[at] == own
-        out = np.zeros((len(uniq), a))
+        out = np.zeros((len(uniq), a), np.float32)
         out[at[ok], cells[ok] % a] = counts[ok]
         return out[back]
 
-    def _second(self, contexts: list[np.ndarray]) -> np.ndarray:
+    def _third(self, contexts: list[np.ndarray]) -> np.ndarray:
         """The longest kept context of the last three symbols."""
         a = self.size
         out = np.zeros((a, a, a), np.int32)
@@ -212,10 +217,13 @@ class Trie:
         s, at = _stream(buf, offs)
         a = self.size
         c = self.code[s]
-        d3 = self.second[(c[:-2] * a + c[1:-1]) * a + c[2:]].astype(np.int64)  # d3[i]: symbols i, i+1, i+2
-        long = self.fourth[np.maximum(d3[: len(s) - 4] - self.base[3] + 1, 0) * a + c[3 : len(s) - 1]]
-        state = np.where(long >= 0, long, d3[1 : len(s) - 3])
-        logp = self.table[state * a + c[ORDER:]]
+        state = self.third[(c[:-3] * a + c[1:-2]) * a + c[2:-1]]  # after the symbols i, i + 1, i + 2
+        known = np.maximum(state - self.base[3] + 1, 0)
+        for k, step in enumerate(self.longer, 4):  # one symbol more
+            longer = step[known[:-1] * a + c[k - 1 : -1]]
+            known = np.where(longer >= 0, longer - self.base[k] + 1, 0)
+            state = np.where(longer >= 0, longer, state[1:])
+        logp = self.table[state.astype(np.int64) * a + c[ORDER:]]
         keep = np.zeros(len(s) - ORDER, bool)
         lens = np.diff(offs) + 1
         keep[ranges(at, lens)] = True
@@ -224,27 +232,29 @@ class Trie:
 
 
 def _levels(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of all contexts up to ORDER bytes, from the counts of the longest grams.
+    """Counts of all kept contexts up to ORDER bytes, from the counts of the longest grams.
 
-    At most MAX_GRAMS rows leave the executors: beyond that, a power of two as least count is raised for
-    all levels alike, which keeps every suffix of a kept context.
+    The trie's memory is bounded as usual: of each length at most MAX_CONTEXTS contexts are kept, those that occur at least
+    as often as a power of two. Longer contexts occur less often, so every suffix of a kept context is kept.
     """
     level = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
     mask = F.element_at(F.array(*[F.lit((1 << (8 * (k + 1))) - 1).cast("long") for k in range(ORDER + 1)]), F.col("k") + 1)
     grams = counts.where("kind = 0").select("key", "n", level.alias("k"))
-    grams = staged(grams.select("k", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("k", "key").agg(F.sum("n").alias("n")), "trie")
-    sizes = {r.b: r.c for r in grams.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("c")).collect()}
-    least = 0
-    while sum(c for b, c in sizes.items() if b >= least) > MAX_GRAMS:
-        least += 1
-    rows = grams.where(F.col("n") >= (1 << least)).toPandas()
+    grams = grams.select("k", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("k", "key").agg(F.sum("n").alias("n"))
+    grams = staged(grams.withColumn("ctx", F.shiftrightunsigned("key", 8)), "trie")
+    contexts = staged(grams.groupBy("k", "ctx").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("b")), "contexts")
+    sizes = {(r.k, r.b): r["count"] for r in contexts.groupBy("k", "b").count().collect()}
+    least = [0] * (ORDER + 1)
+    for k in range(ORDER + 1):
+        least[k] = least[k - 1] if k else 0
+        while sum(n for (j, b), n in sizes.items() if j == k and b >= least[k]) > MAX_CONTEXTS:
+            least[k] += 1
+    kept = contexts.where(F.col("b") >= F.element_at(F.array(*map(F.lit, least)), F.col("k") + 1))
+    kept = grams.join(kept.select("k", "ctx"), ["k", "ctx"], "left_semi").select("k", "key", "n")
     out = []
     for k in range(ORDER + 1):
-        part = rows[rows.k == k]
-        out.append((part.key.to_numpy(np.uint64), part.n.to_numpy(np.float64)))
-    while (sum(len(np.unique(keys >> np.uint64(8))) for keys, _ in out) + 1) * (len(out[0][0]) + 1) > MAX_CELLS:
-        least += 1
-        out = [(keys[n >= (1 << least)], n[n >= (1 << least)]) for keys, n in out]
+        rows = kept.where(F.col("k") == k).select("key", "n").toArrow()
+        out.append((rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.float32)))
     return out
 
 

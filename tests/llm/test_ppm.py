@@ -8,25 +8,25 @@ from tests.llm.test_simhash import LOW, tokens
 
 
 def brute_ppm(train, text):
-    """PPM of order 4 with method C escapes and exclusion, straight from its definition."""
+    """PPM of order 5 with method D escapes and exclusion, straight from its definition."""
     seen = {}
     for t in train:
-        s = b"\xff" * 4 + t + b"\xff"
-        for i in range(4, len(s)):
-            for k in range(5):
+        s = b"\xff" * 5 + t + b"\xff"
+        for i in range(5, len(s)):
+            for k in range(6):
                 seen.setdefault(s[i - k : i], Counter())[s[i]] += 1
-    s, total = b"\xff" * 4 + text + b"\xff", 0.0
-    for i in range(4, len(s)):
+    s, total = b"\xff" * 5 + text + b"\xff", 0.0
+    for i in range(5, len(s)):
         ruled = set()
-        for k in range(4, -1, -1):
+        for k in range(5, -1, -1):
             at = {b: c for b, c in seen.get(s[i - k : i], {}).items() if b not in ruled}
             if not at:
                 continue
             n, d = sum(at.values()), len(at)
             if s[i] in at:
-                total += math.log10(at[s[i]] / (n + d))
+                total += math.log10((2 * at[s[i]] - 1) / (2 * n))
                 break
-            total += math.log10(d / (n + d))
+            total += math.log10(d / (2 * n))
             ruled |= set(at)
         else:
             total -= math.log10(257 - len(ruled))

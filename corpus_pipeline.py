@@ -43,7 +43,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often (0 to 3 times) as the mix takes it."""
-    taken = mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies"))
+    taken = mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies")).hint("shuffle_hash")  # the same join at every size
     each = docs.select(*COLUMNS).join(taken, "doc_id")
     return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 

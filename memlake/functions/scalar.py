@@ -32,7 +32,7 @@ def forget_time(base: Column, last_recall: Column, stability: Column, threshold:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def pad(p: Column, a: Column, d: Column) -> Column:

@@ -6,11 +6,13 @@ costs an escape (method D: distinct / (2 * total)) and is coded one byte shorter
 symbols already ruled out excluded from the counts, down to a uniform choice among the bytes never
 seen. A text's code ends with an end symbol, so scores of finished texts form a distribution.
 
-Counting is one pass over the texts (each task sends its distinct grams, not its bytes); the second
-pass walks all bytes of a chunk at once through dense transition tables. The unigram baseline needs
-every word's count at every text that has it: the few words that make up at least 1/50,000 of all
-tokens (at most 50,000 words, whatever the corpus) are broadcast, the others meet their texts in
-buckets of word hashes, none of which such a word can dominate.
+No context is left out, however large the corpus, and no task or broadcast holds the trie: texts are dealt
+to chunks, each chunk's distinct grams (five bytes and the next) are counted over all chunks, and
+grams that end alike meet in one task, which has all of their longer contexts and prices each of them (the counts of
+single bytes and byte pairs, 65,536 at most, are broadcast). The prices go back to the chunks that asked for
+them. The unigram baseline needs every word's count at every text that has it: the few words that
+make up at least 1/50,000 of all tokens (at most 50,000 words, whatever the corpus) are broadcast, the others meet
+their texts in buckets of word hashes, none of which such a word can dominate.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ ORDER = 5
 END = 0xFF  # never a byte of UTF-8
 END_WORD = np.uint64(0x5851F42D4C957F2C)
 HEAD_SHARE = 50_000
-MAX_CONTEXTS = 1 << 17
 BUCKET_TOKENS = 500_000
+CHUNK_TEXT = 1 << 24
+ROW_BITS = 20
+SHARD_GRAMS = 250_000
+SPLIT = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 
 
 def held_out(ids: list, folds: int, fold: int) -> np.ndarray:
@@ -97,168 +102,128 @@ class _Tally:
         return keys[cut], counts
 
 
-def _count(folds: int, fold: int):
+def _split(folds: int, fold: int):
+    """Texts dealt to chunks of about CHUNK_TEXT bytes (kind 2), with each chunk's distinct grams (0) and the word counts (1)."""
+
+    def texts(ids: pa.Array, column: pa.Array, chunk: int, first: int) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int8)), pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array((chunk << ROW_BITS) + first + np.arange(n)), ids.cast(pa.int64()), column], schema=SPLIT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, vocab = _Tally(), _Tally()
+        known, unknown, vocab = _Tally(), _Tally(), _Tally()
+        chunk, rows, size = TaskContext.get().partitionId() << ROW_BITS, 0, 0
         for batch in batches:
-            train = ~held_out(batch.column(0).to_pylist(), folds, fold)
-            table = batch.filter(pa.array(train))
-            for lo, hi, buf, offs in chunks(table.column(1)):
-                low = LOWER[buf]
-                starts, ends, _ = words(low, offs)
-                vocab.add(np.concatenate([word_hashes(low, starts, ends) | np.uint64(1), np.full(hi - lo, END_WORD | np.uint64(1))]))
-                grams.add(_grams(low, offs))
-            for kind, tally in ((0, grams), (1, vocab)):
-                if tally.size > 3_000_000:
-                    keys, counts = tally.compact()
-                    if len(keys) > 2_500_000:  # bounded memory: hand these on and start anew
-                        yield from _rows(kind, keys, counts)
-                        tally.__init__()
-        for kind, tally in ((0, grams), (1, vocab)):
-            yield from _rows(kind, *tally.compact())
+            ids = batch.column(0)
+            train = ~held_out(ids.to_pylist(), folds, fold)
+            for lo, hi, buf, offs in chunks(batch.column(1)):
+                if size and (size + len(buf) > CHUNK_TEXT or rows + hi - lo >= 1 << ROW_BITS):
+                    yield from _grams_of(chunk, known, unknown)
+                    chunk, rows, size = chunk + 1, 0, 0
+                yield texts(ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), chunk, rows)
+                rows, size = rows + hi - lo, size + len(buf) + hi - lo
+                low, own = LOWER[buf], train[lo:hi]
+                starts, ends, bounds = words(low, offs)
+                learned = np.repeat(own, np.diff(bounds))
+                vocab.add(np.concatenate([word_hashes(low, starts[learned], ends[learned]) | np.uint64(1), np.full(int(own.sum()), END_WORD | np.uint64(1))]))
+                grams, of_train = _grams(low, offs), np.repeat(own, np.diff(offs) + 1)
+                known.add(grams[of_train])
+                unknown.add(grams[~of_train])
+                if vocab.size > 3_000_000 and len(vocab.compact()[0]) > 2_500_000:  # bounded memory: hand these on and start anew
+                    yield from _rows(1, 0, *vocab.compact())
+                    vocab = _Tally()
+        yield from _grams_of(chunk, known, unknown)
+        yield from _rows(1, 0, *vocab.compact())
 
     return run
 
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _grams_of(chunk: int, known: _Tally, unknown: _Tally) -> Iterator[pa.RecordBatch]:
+    """All distinct grams of a chunk with their counts in training texts; the tallies are emptied."""
+    keys, counts = known.compact()
+    only = np.setdiff1d(unknown.compact()[0], keys, assume_unique=True)
+    yield from _rows(0, chunk, np.concatenate([keys, only]), np.concatenate([counts, np.zeros(len(only), np.int64)]))
+    known.__init__()
+    unknown.__init__()
+
+
+def _rows(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(keys), 200_000):
         k = keys[i : i + 200_000].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(counts[i : i + 200_000].astype(np.int64))], ["kind", "key", "n"])
+        n = len(k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, chunk)), pa.array(k), pa.array(counts[i : i + n].astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], schema=SPLIT)
 
 
-class Trie:
-    """Log10 probabilities of every symbol in every kept context, with the transitions between contexts.
+def _bytes(k: int) -> np.uint64:
+    return np.uint64((1 << (8 * k)) - 1)
 
-    ``levels[k]`` has the keys (k context bytes, then the symbol; big end first) and counts of level k, for all k up to
-    ORDER. A kept context's suffixes must be kept too.
-    """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        alphabet = np.unique(levels[0][0]).astype(np.int64) if len(levels[0][0]) else np.zeros(0, np.int64)
-        self.code = np.zeros(256, np.int64)
-        self.code[alphabet] = np.arange(1, len(alphabet) + 1)
-        a = self.size = len(alphabet) + 1
-        cell: list[np.ndarray] = []
-        for k, (keys, _) in enumerate(levels):
-            x = np.zeros(len(keys), np.int64)
-            for j in range(k, -1, -1):
-                x = x * a + self.code[((keys >> (8 * j)) & 255).astype(np.int64)]
-            cell.append(x)
-        contexts = [np.unique(x // a) if k else np.zeros(1, np.int64) for k, x in enumerate(cell)]
-        self.base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        self.table = np.empty((int(self.base[-1]), a), np.float32)
-        escape = np.zeros(len(self.table), np.float32)
-        for k, ctx in enumerate(contexts):
-            for lo in range(0, len(ctx), 2048):
-                part = ctx[lo : lo + 2048]
-                counts = self._dense(cell[k], levels[k][1], part)
-                seen = counts > 0
-                total, distinct = counts.sum(1), seen.sum(1)
-                esc = np.log10(np.maximum(distinct, 1) / np.maximum(2 * total, 1))
-                if k == 0:
-                    rest = np.where(seen[0], 0.0, -math.log10(257 - len(alphabet)))[None, :]
-                else:
-                    up_ctx = part % a ** (k - 1) if k > 1 else np.zeros(len(part), np.int64)
-                    up = self.base[k - 1] + np.searchsorted(contexts[k - 1], up_ctx)
-                    free = self._dense(cell[k - 1], levels[k - 1][1], up_ctx)
-                    free[seen] = 0
-                    left, kinds = np.maximum(2 * free.sum(1), 1), (free > 0).sum(1)
-                    on = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / left), 0.0) - escape[up]
-                    rest = on[:, None] + self.table[up]
-                    some = free > 0
-                    rest[some] = (np.log10(np.maximum(2 * free - 1, 1)) - np.log10(left)[:, None])[some]
-                rows = esc[:, None] + rest
-                own = np.log10(np.maximum(2 * counts - 1, 1)) - np.log10(np.maximum(2 * total, 1))[:, None]
-                at = self.base[k] + lo
-                self.table[at : at + len(part)] = np.where(seen, own, rows)
-                escape[at : at + len(part)] = esc
-        self.third = self._third(contexts)
-        self.longer = [self._longer(contexts, k) for k in range(4, ORDER + 1)]
-        self.table = self.table.ravel()
-
-    def _longer(self, contexts: list[np.ndarray], k: int) -> np.ndarray:
-        """From a context of k - 1 symbols (row 0: none) and the next symbol to the context of k, or -1."""
-        a, before = self.size, contexts[k - 1]
-        out = np.full((len(before) + 1, a), -1, np.int32)
-        if len(before) and len(contexts[k]):
-            row = np.minimum(np.searchsorted(before, contexts[k] // a), len(before) - 1)
-            ok = before[row] == contexts[k] // a
-            out[row[ok] + 1, contexts[k][ok] % a] = (self.base[k] + np.flatnonzero(ok)).astype(np.int32)
-        return out.ravel()
-
-    def _dense(self, cells: np.ndarray, counts: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """The counts of all symbols after each of ``ctx``; ``cells`` is sorted by nothing but unique."""
-        a = self.size
-        uniq, back = np.unique(ctx, return_inverse=True)
-        own = cells // a
-        at = np.minimum(np.searchsorted(uniq, own), len(uniq) - 1)
-        ok = uniq[at] == own
-        out = np.zeros((len(uniq), a), np.float32)
-        out[at[ok], cells[ok] % a] = counts[ok]
-        return out[back]
-
-    def _third(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """The longest kept context of the last three symbols."""
-        a = self.size
-        out = np.zeros((a, a, a), np.int32)
-        for k in (1, 2, 3):
-            ids = (self.base[k] + np.arange(len(contexts[k]))).astype(np.int32)
-            c = contexts[k]
-            if k == 1:
-                out[:, :, c] = ids
-            elif k == 2:
-                out[:, c // a, c % a] = ids
-            else:
-                out[c // (a * a), c // a % a, c % a] = ids
-        return out.ravel()
-
-    def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text of a lower-cased chunk."""
-        s, at = _stream(buf, offs)
-        a = self.size
-        c = self.code[s]
-        state = self.third[(c[:-3] * a + c[1:-2]) * a + c[2:-1]]  # after the symbols i, i + 1, i + 2
-        known = np.maximum(state - self.base[3] + 1, 0)
-        for k, step in enumerate(self.longer, 4):  # one symbol more
-            longer = step[known[:-1] * a + c[k - 1 : -1]]
-            known = np.where(longer >= 0, longer - self.base[k] + 1, 0)
-            state = np.where(longer >= 0, longer, state[1:])
-        logp = self.table[state.astype(np.int64) * a + c[ORDER:]]
-        keep = np.zeros(len(s) - ORDER, bool)
-        lens = np.diff(offs) + 1
-        keep[ranges(at, lens)] = True
-        got = logp[keep]
-        return np.add.reduceat(got.astype(np.float64), np.cumsum(lens) - lens)
-
-
-def _levels(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of all kept contexts up to ORDER bytes, from the counts of the longest grams.
-
-    The trie's memory is bounded as usual: of each length at most MAX_CONTEXTS contexts are kept, those that occur at least
-    as often as a power of two. Longer contexts occur less often, so every suffix of a kept context is kept.
-    """
-    level = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
-    mask = F.element_at(F.array(*[F.lit((1 << (8 * (k + 1))) - 1).cast("long") for k in range(ORDER + 1)]), F.col("k") + 1)
-    grams = counts.where("kind = 0").select("key", "n", level.alias("k"))
-    grams = grams.select("k", F.col("key").bitwiseAND(mask).alias("key"), "n").groupBy("k", "key").agg(F.sum("n").alias("n"))
-    grams = staged(grams.withColumn("ctx", F.shiftrightunsigned("key", 8)), "trie")
-    contexts = staged(grams.groupBy("k", "ctx").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("b")), "contexts")
-    sizes = {(r.k, r.b): r["count"] for r in contexts.groupBy("k", "b").count().collect()}
-    least = [0] * (ORDER + 1)
-    for k in range(ORDER + 1):
-        least[k] = least[k - 1] if k else 0
-        while sum(n for (j, b), n in sizes.items() if j == k and b >= least[k]) > MAX_CONTEXTS:
-            least[k] += 1
-    kept = contexts.where(F.col("b") >= F.element_at(F.array(*map(F.lit, least)), F.col("k") + 1))
-    kept = grams.join(kept.select("k", "ctx"), ["k", "ctx"], "left_semi").select("k", "key", "n")
-    out = []
+def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``x`` is in ``sorted_``, and whether it is."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+class _Level:
+    """Contexts of one length: their symbols' counts, totals and distinct symbols; and what the shorter context has besides."""
+
+    def __init__(self, k: int, cells: np.ndarray, counts: np.ndarray, up: _Level | None) -> None:
+        self.k, self.cells, self.counts = k, cells, counts
+        owner = cells >> np.uint64(8)
+        cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(cells) else np.zeros(0, np.int64)
+        self.contexts = owner[cut]
+        self.distinct = np.diff(np.append(cut, len(cells)))
+        self.total = np.add.reduceat(counts, cut) if len(cut) else np.zeros(0, np.int64)
+        if up is not None:
+            shared = up.counts[_find(up.cells, cells & _bytes(k))[0]] if len(cells) else counts
+            at = _find(up.contexts, self.contexts & _bytes(k - 1))[0]
+            self.left = up.total[at] - np.add.reduceat(shared, cut) if len(cut) else self.total
+            self.kinds = up.distinct[at] - self.distinct if len(cut) else self.distinct
+
+
+def _levels(short: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray) -> list[_Level]:
+    """Levels 0 and 1 from the counts of all byte pairs; the longer ones from the grams given, which hold all that end alike."""
+    out: list[_Level] = []
     for k in range(ORDER + 1):
-        rows = kept.where(F.col("k") == k).select("key", "n").toArrow()
-        out.append((rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.float32)))
+        x, n = (short if k < 2 else (keys, counts))
+        x, back = np.unique(x & _bytes(k + 1), return_inverse=True)
+        out.append(_Level(k, x, np.bincount(back, n, minlength=len(x)).astype(np.int64), out[-1] if k else None))
     return out
 
 
-def _apply(trie, head, buckets: int, folds: int, fold: int):
+def log_probabilities(grams: np.ndarray, levels: list[_Level]) -> np.ndarray:
+    """Log10 probability of the last byte of each gram after the others."""
+    log = lambda x: np.log10(np.maximum(x, 1))
+    best = rest = np.full(len(grams), -math.log10(257 - len(levels[0].cells)))
+    before = np.zeros(len(grams), np.int64)
+    for level in levels:
+        k = level.k
+        at, has = _find(level.contexts, (grams >> np.uint64(8)) & _bytes(k))
+        if not has.any():
+            break
+        cell, seen = _find(level.cells, grams & _bytes(k + 1))
+        n = np.where(seen, level.counts[cell], 0)
+        if k:  # symbols of this context are ruled out in the shorter one
+            left = log(2 * level.left[at])
+            rest = np.where(before > 0, log(2 * before - 1) - left, np.where(level.kinds[at] > 0, log(level.kinds[at]) - left, 0.0) + rest)
+        own = np.where(seen, log(2 * n - 1), log(level.distinct[at]) + rest) - log(2 * level.total[at])
+        best, before = np.where(has, own, best), n
+    return best
+
+
+def _priced(short):
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        levels = _levels(short.value, keys[counts > 0], counts[counts > 0])
+        return pa.table({"key": keys.view(np.int64), "logp": log_probabilities(keys, levels).astype(np.float32)})
+
+    return run
+
+
+def _apply(head, buckets: int, folds: int, fold: int):
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary())])
 
     def spill(held: list) -> Iterator[pa.RecordBatch]:
@@ -273,34 +238,32 @@ def _apply(trie, head, buckets: int, folds: int, fold: int):
             none = [pa.nulls(n, t) for t in schema.types[:7]]
             yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, logs) = trie.value, head.value
-        held, size, at = [], 0, TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids = batch.column(0)
-            out = held_out(ids.to_pylist(), folds, fold)
-            for lo, hi, buf, offs in chunks(batch.column(1)):
-                low = LOWER[buf]
-                starts, ends, bounds = words(low, offs)
-                h = word_hashes(low, starts, ends) | np.uint64(1)
-                doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-                top = keys[i] == h if len(keys) else np.zeros(len(h), bool)
-                rows = at + np.arange(hi - lo)
-                n_known = np.bincount(doc[top], minlength=hi - lo)
-                base = np.bincount(doc[top], logs[i[top]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
-                mark = np.where(out[lo:hi], np.uint64(0), np.uint64(1))  # the lowest bit says whether it counts
-                rare = ~top
-                held.append(((h[rare] ^ np.uint64(1)) | mark[doc[rare]], rows[doc[rare]]))
-                size += int(rare.sum())
-                nothing = [pa.nulls(hi - lo, t) for t in schema.types[7:]]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(rows), pa.array(out[lo:hi]), pa.array(np.diff(bounds) + 1), pa.array(n_known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(model.score(low, offs)), *nothing], schema=schema)
-                at += hi - lo
-                if size > 2_000_000:
-                    yield from spill(held)
-                    held, size = [], 0
-        if size:
-            yield from spill(held)
+    def run(texts: pa.Table, priced: pa.Table) -> pa.Table:
+        keys, logs = head.value
+        index, logp = pd.Index(priced.column("key").to_numpy()), priced.column("logp").to_numpy()
+        ids, rows_ = texts.column("doc_id").combine_chunks(), texts.column("row").to_numpy()
+        out = held_out(ids.to_pylist(), folds, fold)
+        held, parts = [], []
+        for lo, hi, buf, offs in chunks(texts.column("text")):
+            low = LOWER[buf]
+            starts, ends, bounds = words(low, offs)
+            h = word_hashes(low, starts, ends) | np.uint64(1)
+            doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
+            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
+            top = keys[i] == h if len(keys) else np.zeros(len(h), bool)
+            rows = rows_[lo:hi]
+            n_known = np.bincount(doc[top], minlength=hi - lo)
+            base = np.bincount(doc[top], logs[i[top]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
+            mark = np.where(out[lo:hi], np.uint64(0), np.uint64(1))  # the lowest bit says whether it counts
+            rare = ~top
+            held.append(((h[rare] ^ np.uint64(1)) | mark[doc[rare]], rows[doc[rare]]))
+            got = logp[index.get_indexer(_grams(low, offs).view(np.int64))].astype(np.float64)
+            first = offs[:-1] + np.arange(hi - lo)
+            nothing = [pa.nulls(hi - lo, t) for t in schema.types[7:]]
+            parts.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(rows), pa.array(out[lo:hi]), pa.array(np.diff(bounds) + 1), pa.array(n_known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(np.add.reduceat(got, first)), *nothing], schema=schema))
+        if any(len(h) for h, _ in held):
+            parts.extend(spill(held))
+        return pa.Table.from_batches(parts, schema=schema)
 
     return run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, hashes binary, rows binary"
 
@@ -326,7 +289,8 @@ def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = docs.mapInArrow(_count(folds, fold), "kind byte, key long, n long")
+    split = staged(docs.mapInArrow(_split(folds, fold), "kind byte, chunk long, key long, n long, row long, doc_id long, text string"), "split")
+    pairs, counts = split.where("kind = 0").select("chunk", "key", "n"), split.where("kind = 1")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = counts.where((F.col("kind") == 1) & (F.col("n") * HEAD_SHARE >= total)).select("key", "n").toPandas()
@@ -336,11 +300,18 @@ def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     if total and not ends:  # one end a text: rare where texts are longer than HEAD_SHARE words
         ends = counts.where((F.col("kind") == 1) & (F.col("key") == int((END_WORD | np.uint64(1)).astype(np.int64)))).agg(F.sum("n")).first()[0] or 0
     sc = spark.sparkContext
-    trie = sc.broadcast(Trie(_levels(counts)))
+    grams = staged(pairs.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    low = F.lit(0xFFFF).cast("long")
+    short = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(low).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    short = sc.broadcast((short.column("key").to_numpy().astype(np.uint64), short.column("n").to_numpy()))
+    shards = max(64, -(-grams.count() // SHARD_GRAMS))
+    priced = grams.withColumn("shard", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(low)), F.lit(shards))).groupBy("shard").applyInArrow(_priced(short), "key long, logp float")
+    priced = pairs.select("chunk", "key").join(priced.hint("merge"), "key").select(F.col("chunk").alias("of"), "key", "logp")
     small = sc.broadcast((keys[order], np.log10(head.n.to_numpy(np.float64)[order] + 0.1)))
     buckets = max(32, -(-(total - int(head.n.sum())) // BUCKET_TOKENS))
-    run, schema = _apply(trie, small, buckets, folds, fold)
-    both = staged(docs.mapInArrow(run, schema), "scored")
+    run, schema = _apply(small, buckets, folds, fold)
+    texts = split.where("kind = 2").select("chunk", "row", "doc_id", "text")
+    both = staged(texts.groupBy("chunk").cogroup(priced.groupBy("of")).applyInArrow(run, schema), "scored")
     rare = both.where("bucket is not null").select("bucket", "hashes", "rows").groupBy("bucket").applyInArrow(_meet, "row long, k long, s double")
     rare = rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
     each = both.where("bucket is null").select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score")

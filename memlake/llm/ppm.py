@@ -11,7 +11,7 @@ to chunks, each chunk's distinct grams (five bytes and the next) are counted ove
 grams that end alike meet in one task, which has all of their longer contexts and prices each of them (the counts of
 single bytes and byte pairs, 65,536 at most, are broadcast). The prices go back to the chunks that asked for
 them. The unigram baseline needs every word's count at every text that has it: the few words that
-make up at least 1/50,000 of all tokens (at most 50,000 words, whatever the corpus) are broadcast, the others meet
+make up at least 1/200,000 of all tokens (at most 200,000 words, whatever the corpus) are broadcast, the others meet
 their texts in buckets of word hashes, none of which such a word can dominate.
 """
 
@@ -34,8 +34,8 @@ from .shared import staged
 ORDER = 5
 END = 0xFF  # never a byte of UTF-8
 END_WORD = np.uint64(0x5851F42D4C957F2C)
-HEAD_SHARE = 50_000
-BUCKET_TOKENS = 500_000
+HEAD_SHARE = 200_000
+BUCKET_TOKENS = 1_000_000
 CHUNK_TEXT = 1 << 24
 ROW_BITS = 20
 SHARD_GRAMS = 250_000

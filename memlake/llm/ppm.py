@@ -39,7 +39,7 @@ BUCKET_TOKENS = 1_000_000
 CHUNK_TEXT = 1 << 24
 ROW_BITS = 20
 SHARD_GRAMS = 250_000
-SPLIT = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+SPLIT = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("texts", pa.binary())])
 
 
 def held_out(ids: list, folds: int, fold: int) -> np.ndarray:
@@ -103,23 +103,24 @@ class _Tally:
 
 
 def _split(folds: int, fold: int):
-    """Texts dealt to chunks of about CHUNK_TEXT bytes (kind 2), with each chunk's distinct grams (0) and the word counts (1)."""
+    """Texts dealt to chunks of about CHUNK_TEXT bytes (kind 2, packed), with each chunk's distinct grams (0) and the word counts (1)."""
 
-    def texts(ids: pa.Array, column: pa.Array, chunk: int, first: int) -> pa.RecordBatch:
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int8)), pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array((chunk << ROW_BITS) + first + np.arange(n)), ids.cast(pa.int64()), column], schema=SPLIT)
+    def texts(batch: pa.RecordBatch, chunk: int, first: int) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return pa.RecordBatch.from_pylist([{"kind": 2, "chunk": chunk, "row": (chunk << ROW_BITS) + first, "texts": sink.getvalue().to_pybytes()}], schema=SPLIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unknown, vocab = _Tally(), _Tally(), _Tally()
         chunk, rows, size = TaskContext.get().partitionId() << ROW_BITS, 0, 0
         for batch in batches:
-            ids = batch.column(0)
-            train = ~held_out(ids.to_pylist(), folds, fold)
+            train = ~held_out(batch.column(0).to_pylist(), folds, fold)
             for lo, hi, buf, offs in chunks(batch.column(1)):
                 if size and (size + len(buf) > CHUNK_TEXT or rows + hi - lo >= 1 << ROW_BITS):
                     yield from _grams_of(chunk, known, unknown)
                     chunk, rows, size = chunk + 1, 0, 0
-                yield texts(ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), chunk, rows)
+                yield texts(batch.slice(lo, hi - lo), chunk, rows)
                 rows, size = rows + hi - lo, size + len(buf) + hi - lo
                 low, own = LOWER[buf], train[lo:hi]
                 starts, ends, bounds = words(low, offs)
@@ -150,7 +151,7 @@ def _rows(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterat
     for i in range(0, len(keys), 200_000):
         k = keys[i : i + 200_000].view(np.int64)
         n = len(k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, chunk)), pa.array(k), pa.array(counts[i : i + n].astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], schema=SPLIT)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, chunk)), pa.array(k), pa.array(counts[i : i + n].astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SPLIT)
 
 
 def _bytes(k: int) -> np.uint64:
@@ -238,20 +239,26 @@ def _apply(head, buckets: int, folds: int, fold: int):
             none = [pa.nulls(n, t) for t in schema.types[:7]]
             yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())], schema=schema)
 
+    def unpacked(texts: pa.Table) -> Iterator[tuple]:
+        for at, packed in zip(texts.column("row").to_pylist(), texts.column("texts"), strict=True):
+            got = pa.ipc.open_stream(packed.as_buffer()).read_all()
+            ids = got.column(0).combine_chunks()
+            out = held_out(ids.to_pylist(), folds, fold)
+            for part in chunks(got.column(1)):
+                yield ids, out, at, *part
+
     def run(texts: pa.Table, priced: pa.Table) -> pa.Table:
         keys, logs = head.value
         index, logp = pd.Index(priced.column("key").to_numpy()), priced.column("logp").to_numpy()
-        ids, rows_ = texts.column("doc_id").combine_chunks(), texts.column("row").to_numpy()
-        out = held_out(ids.to_pylist(), folds, fold)
         held, parts = [], []
-        for lo, hi, buf, offs in chunks(texts.column("text")):
+        for ids, out, at, lo, hi, buf, offs in unpacked(texts):
             low = LOWER[buf]
             starts, ends, bounds = words(low, offs)
             h = word_hashes(low, starts, ends) | np.uint64(1)
             doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
             i = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
             top = keys[i] == h if len(keys) else np.zeros(len(h), bool)
-            rows = rows_[lo:hi]
+            rows = at + np.arange(lo, hi)
             n_known = np.bincount(doc[top], minlength=hi - lo)
             base = np.bincount(doc[top], logs[i[top]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
             mark = np.where(out[lo:hi], np.uint64(0), np.uint64(1))  # the lowest bit says whether it counts
@@ -289,7 +296,7 @@ def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = staged(docs.mapInArrow(_split(folds, fold), "kind byte, chunk long, key long, n long, row long, doc_id long, text string"), "split")
+    split = staged(docs.mapInArrow(_split(folds, fold), "kind byte, chunk long, key long, n long, row long, texts binary"), "split")
     pairs, counts = split.where("kind = 0").select("chunk", "key", "n"), split.where("kind = 1")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -310,7 +317,7 @@ def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     small = sc.broadcast((keys[order], np.log10(head.n.to_numpy(np.float64)[order] + 0.1)))
     buckets = max(32, -(-(total - int(head.n.sum())) // BUCKET_TOKENS))
     run, schema = _apply(small, buckets, folds, fold)
-    texts = split.where("kind = 2").select("chunk", "row", "doc_id", "text")
+    texts = split.where("kind = 2").select("chunk", "row", "texts")
     both = staged(texts.groupBy("chunk").cogroup(priced.groupBy("of")).applyInArrow(run, schema), "scored")
     rare = both.where("bucket is not null").select("bucket", "hashes", "rows").groupBy("bucket").applyInArrow(_meet, "row long, k long, s double")
     rare = rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))

@@ -102,8 +102,8 @@ class _Tally:
         return keys[cut], counts
 
 
-def _split(folds: int, fold: int):
-    """Texts dealt to chunks of about CHUNK_TEXT bytes (kind 2, packed), with each chunk's distinct grams (0) and the word counts (1)."""
+def _split(folds: int, fold: int, chunk_text: int):
+    """Texts dealt to chunks of about ``chunk_text`` bytes (kind 2, packed), with each chunk's distinct grams (0) and the word counts (1)."""
 
     def texts(batch: pa.RecordBatch, chunk: int, first: int) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
@@ -117,7 +117,7 @@ def _split(folds: int, fold: int):
         for batch in batches:
             train = ~held_out(batch.column(0).to_pylist(), folds, fold)
             for lo, hi, buf, offs in chunks(batch.column(1)):
-                if size and (size + len(buf) > CHUNK_TEXT or rows + hi - lo >= 1 << ROW_BITS):
+                if size and (size + len(buf) > chunk_text or rows + hi - lo >= 1 << ROW_BITS):
                     yield from _grams_of(chunk, known, unknown)
                     chunk, rows, size = chunk + 1, 0, 0
                 yield texts(batch.slice(lo, hi - lo), chunk, rows)
@@ -287,7 +287,7 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"row": uniq, "k": np.bincount(codes, counts > 0).astype(np.int64), "s": np.bincount(codes, np.log10(counts + 0.1))})
 
 
-def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
+def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0, chunk_text: int = CHUNK_TEXT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Rows with ``crc32(doc_id as text) mod folds = fold`` are held out of training. Null and empty texts
@@ -296,7 +296,7 @@ def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = staged(docs.mapInArrow(_split(folds, fold), "kind byte, chunk long, key long, n long, row long, texts binary"), "split")
+    split = staged(docs.mapInArrow(_split(folds, fold, chunk_text), "kind byte, chunk long, key long, n long, row long, texts binary"), "split")
     pairs, counts = split.where("kind = 0").select("chunk", "key", "n"), split.where("kind = 1")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

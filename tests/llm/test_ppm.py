@@ -57,3 +57,21 @@ def test_empty_and_repeated(spark):
     assert ppm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     twice = ppm_scores(spark.createDataFrame([(3, "a b"), (3, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert len(twice) == 3 and twice[0].score < 0
+
+
+def test_scores_do_not_depend_on_chunks(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["aa", "ab", "ba", "Ünd", "c"]) for _ in range(rnd.randrange(40))) for _ in range(60)] + [None, "", "aa ab", "aa ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    one = {r.doc_id: r for r in ppm_scores(docs).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        many = ppm_scores(docs, chunk_text=1).collect()  # a chunk a batch
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(many) == len(texts)
+    for r in many:
+        o = one[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (o.held_out, o.n_tokens, o.n_known, o.train_tokens)
+        assert math.isclose(r.score, o.score, rel_tol=1e-9) and math.isclose(r.base_score, o.base_score, rel_tol=1e-9)

@@ -6,8 +6,9 @@ of near-copies stays together. A shard too large for one task is dealt to blocks
 take pairs of blocks. A task builds a flat graph over a block: small overlapping clusters, robust
 pruning in each, adjacency lists united. From the clusters' medoids all queries search greedily at once;
 what lies within range is expanded as long as it leads to more. Each task audits its recall on some queries
-by brute force and searches wider until it is high. All pairs found are verified in double precision; a pair that two
-shards share counts in the lower one only. A second audit compares the links of a bounded sample of queries
+by brute force and searches wider until it is high. A vector asks in the
+shard of its nearest pivot. All pairs found are verified in double precision; a pair that both ends find in
+different shards counts in the lower one only. A second audit compares the links of a bounded sample of queries
 with brute force over all vectors; while too few are found, vectors go to twice as many shards.
 """
 
@@ -202,12 +203,14 @@ def _task(cosine: float):
         if not len(a) or not len(b):
             return _LINKS.empty_table()
         linked = np.zeros((len(a), len(b)), bool)
-        for q, r in find_in_block(raw[a], raw[b], cosine):
-            lowest = np.full(len(q), np.iinfo(np.int64).max)
-            for c in range(shards.shape[1]):
-                own = shards[a[q], c]
-                lowest = np.where((shards[b[r]] == own[:, None]).any(1), np.minimum(lowest, own), lowest)
-            linked[q[lowest == shard], r[lowest == shard]] = True
+        for ask, rows, table_of in ((a, b, linked),) if same else ((a, b, linked), (b, a, linked.T)):
+            home = np.flatnonzero(shards[ask, 0] == shard)  # each vector asks in the shard of its nearest pivot
+            if not len(home):
+                continue
+            for q, r in find_in_block(raw[ask[home]], raw[rows], cosine):
+                other = shards[rows[r], 0]
+                twice = (shards[ask[home[q]]] == other[:, None]).any(1) & (other < shard)  # the other end finds the pair, too
+                table_of[home[q[~twice]], r[~twice]] = True
         if same:
             linked |= linked.T
             np.fill_diagonal(linked, False)
@@ -240,7 +243,7 @@ def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _assign(pivots, overlap: int):
-    """The nearest pivots of the vector's dimension, at most ``overlap``; vectors as bytes of doubles."""
+    """The nearest pivots of the vector's dimension, nearest first, at most ``overlap``; vectors as bytes of doubles."""
 
     def run(batches):
         for batch in batches:
@@ -251,7 +254,9 @@ def _assign(pivots, overlap: int):
                 wide = min(overlap, len(own))
                 for lo in range(0, len(at), 256):
                     if wide:
-                        top = np.argpartition(-(_unit(vectors[lo : lo + 256]) @ own.T), wide - 1, axis=1)[:, :wide]
+                        sims = -(_unit(vectors[lo : lo + 256]) @ own.T)
+                        top = np.argpartition(sims, wide - 1, axis=1)[:, :wide]
+                        top = np.take_along_axis(top, np.take_along_axis(sims, top, 1).argsort(1, kind="stable"), 1)
                     for k, i in enumerate(at[lo : lo + 256].tolist()):
                         data[i] = vectors[lo + k].tobytes()
                         shards[i] = top[k].tolist() if wide else [0]

@@ -108,6 +108,18 @@ def similarity_pairs(vectors: DataFrame, key: str, hv: str, dim: int) -> DataFra
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", bits.similarity(F.col("_i"), F.col("_j"), dim).alias("sim"))
 
 
+def bind_all(vectors: DataFrame, keys: list[str], hv: str) -> DataFrame:
+    """XOR of all vectors of each key as ``keys, hv``; the words are combined before the shuffle."""
+    words = vectors.select(*keys, F.posexplode(hv).alias("_i", "_w")).groupBy(*keys, "_i").agg(F.bit_xor("_w").alias("_w"))
+    return words.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_w"))), lambda x: x["_w"]).alias(hv))
+
+
+def most_similar(vectors: DataFrame, words: list[int], dim: int, k: int, key: str, hv: str) -> DataFrame:
+    """The ``k`` vectors most similar to one query: ``key, distance, similarity``, ties by key."""
+    query = F.array(*(F.lit(w).cast("long") for w in words))
+    return vectors.select(key, bits.hamming(F.col(hv), query).alias("distance"), bits.similarity(F.col(hv), query, dim).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+
+
 def encode_triple(s: Column, p: Column, o: Column, dim: int) -> Column:
     return bits.bind(bits.bind(bits.random_vector(s, dim), bits.random_vector(p, dim)), bits.random_vector(o, dim))
 

@@ -143,9 +143,9 @@ def _in(name, sql):
     return plan(name, f"WITH i AS ({_ORDERS}) {sql}")
 
 
-@_in("in_active", "SELECT id, round(priority, 6) AS priority FROM i WHERE status IN ('Pending', 'Active')")
+@_in("in_active", "SELECT id, priority FROM i WHERE status IN ('Pending', 'Active')")
 def _(spark, d):
-    return memory.active_intentions(intentions(spark, d)).select("id", F.round("priority", 6).alias("priority"))
+    return memory.active_intentions(intentions(spark, d)).select("id", "priority")
 
 
 @_in("in_triggerable", "SELECT id, kind FROM i WHERE status IN ('Pending', 'Active') AND (kind = 'Immediate' OR due <= TIMESTAMP '1998-01-01 00:00:00')")

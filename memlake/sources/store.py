@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import scalar
+from memlake.operators import records
 
 from . import schemas
 
@@ -104,10 +105,7 @@ class MemoryStore:
 
     def state(self) -> DataFrame:
         """The latest version of every memory that is not deleted."""
-        log = self._log()
-        keep = [f.name for f in self.spark.createDataFrame([], self.schema).schema if f.name != "id"]
-        last = log.groupBy("id").agg(F.max_by(F.struct("_deleted", *keep), F.struct("_ts", "_seq")).alias("_v"))
-        return last.where("not _v._deleted").select("id", *(F.col(f"_v.{c}").alias(c) for c in keep))
+        return records.latest(self._log(), "id", ["_ts", "_seq"], "_deleted")
 
     def retrieve(self, id_: str) -> DataFrame:
         """One memory; the id is pushed down to the files. Reading changes nothing."""

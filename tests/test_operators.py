@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from memlake.engine import Engine, InvalidOperation, NotFound, new_intention, new_text, parse_trigger
 from memlake.functions import bits, scalar
-from memlake.operators import crdt, graph, hdc, memory
+from memlake.operators import crdt, graph, hdc, memory, records
 from memlake.sources.config import Config
 from memlake.sources.store import MemoryStore
 from memlake.streaming import fold
@@ -89,3 +89,20 @@ def test_engine(spark, tmp_path):
     with pytest.raises(NotFound):
         e.get("2")
     assert e.forget(later, later) == 3 and e.store.list_ids().count() == 0
+
+
+def test_record_logs(spark):
+    log = spark.createDataFrame([("a", 1, False, "x"), ("a", 2, False, None), ("b", 1, False, "y"), ("b", 2, True, None), ("c", 1, True, None), ("c", 2, False, "z"), (None, 1, False, "n")], "id string, seq int, deleted boolean, v string")
+    assert {(r.id, r.v) for r in records.latest(log, "id", ["seq"], "deleted").collect()} == {("a", None), ("c", "z"), (None, "n")}
+    assert {r.id: (r.written, r.deletions) for r in records.versions(log, "id", "deleted").collect()}["b"] == (1, 1)
+    ids = spark.createDataFrame([("a",), ("q",), ("q",)], "id string")
+    assert [r.id for r in records.missing(ids, log).collect()] == ["q"]
+    known = log.where("id is not null and seq = 1")
+    assert [r.id for r in records.paged(known, F.lit("a"), 1).collect()] == ["b"] and records.paged(known, None, 9).count() == 3
+    assert records.latest(log.limit(0), "id", ["seq"], "deleted").collect() == []
+
+
+def test_bind_all_and_most_similar(spark):
+    v = spark.createDataFrame([(1, "g", [5, 9]), (2, "g", [3, 1]), (3, "h", [7, 7]), (4, "e", None)], "id int, k string, hv array<bigint>")
+    assert {r.k: r.hv for r in hdc.bind_all(v, ["k"], "hv").collect()} == {"g": [6, 8], "h": [7, 7]}
+    assert [(r.id, r.distance) for r in hdc.most_similar(v.where("hv is not null"), [7, 7], 64, 2, "id", "hv").collect()] == [(3, 0), (2, 3)]

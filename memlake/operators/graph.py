@@ -22,7 +22,9 @@ def rejected_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbors(edges: DataFrame, start: str, depth: int, relationships: list[str] | None = None, direction: str = "out") -> DataFrame:
     """``id, hops``: nodes within ``depth`` hops of ``start`` at their least distance, without ``start``.
 
-    The filter holds on every hop. Each hop is one join of the frontier with the edges; nodes met before are dropped.
+    The filter holds on every hop. Each hop is one join of the nodes that walks of its length end at with the edges, so
+    the plan grows by one join a hop and hops share their exchanges; a node's least hop counts. Nodes met again are walked on
+    from, which adds no more than one pass over the edges a hop.
     """
     if relationships:
         edges = edges.where(F.col("relationship").isin(relationships))
@@ -31,13 +33,12 @@ def neighbors(edges: DataFrame, start: str, depth: int, relationships: list[str]
         step = step.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     elif direction == "in":
         step = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    spark = edges.sparkSession
-    seen = frontier = spark.createDataFrame([(start, 0)], "id string, hops int")
+    met = edges.sparkSession.createDataFrame([], "id string, hops int")
     for hop in range(1, depth + 1):
-        reached = step.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.union(frontier)
-    return seen.where(F.col("hops") > 0)
+        ends = step.where(F.col("src") == start) if hop == 1 else step.join(ends.withColumnRenamed("id", "src"), "src", "left_semi")
+        ends = ends.select(F.col("dst").alias("id")).distinct()
+        met = met.union(ends.withColumn("hops", F.lit(hop)))
+    return met.where(~F.col("id").eqNullSafe(F.lit(start))).groupBy("id").agg(F.min("hops").alias("hops"))
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -130,42 +130,69 @@ def encode_graph(triples: DataFrame, keys: list[str], dim: int) -> DataFrame:
     return bundle_bits(t, keys, t.select(*keys, F.explode(bits.bits_of(F.col("hv"))).alias("j")), dim)
 
 
-def _symbol(token: str, dim: int) -> np.ndarray:
-    words = [int(hashlib.md5(f"{token}:{b}".encode()).hexdigest()[:8], 16) for b in range(-(-dim // 32))]
-    return np.unpackbits(np.array(words, "<u4").view(np.uint8), bitorder="little")[:dim]
+def _symbol(token: str, dim: int) -> int:
+    """The token's vector as one integer, bit i of value 2**i."""
+    head = f"{token}:".encode()
+    blocks = [hashlib.md5(head + b"%d" % b).digest()[3::-1] for b in range(-(-dim // 32))]
+    return int.from_bytes(b"".join(blocks), "little") & ((1 << dim) - 1)
+
+
+def _bundle(vectors: Iterator[int], dim: int) -> list[int]:
+    """Strict majority of vectors held as integers: votes are counted bit-sliced, by full adders over whole vectors."""
+    levels: list[list[int]] = []  # vectors of weight 2**k that are not added up yet, two at most
+    n = 0
+    for v in vectors:
+        n += 1
+        k = 0
+        while True:
+            if k == len(levels):
+                levels.append([])
+            own = levels[k]
+            if len(own) < 2:
+                own.append(v)
+                break
+            a, b = own
+            half = a ^ b
+            levels[k] = [half ^ v]
+            v = (a & b) | (half & v)
+            k += 1
+    votes = np.zeros(dim, np.int64)
+    for k, own in enumerate(levels):
+        for v in own:
+            votes += np.unpackbits(np.frombuffer(v.to_bytes(-(-dim // 8), "little"), np.uint8), bitorder="little")[:dim].astype(np.int64) << k
+    won = np.pad((2 * votes > n).astype(np.uint8), (0, -dim % 32))
+    return np.packbits(won, bitorder="little").view("<u4").astype(np.int64).tolist()
+
+
+def _rotated(tokens: list[str], dim: int, known: dict[str, int], most: int) -> Iterator[int]:
+    """The tokens' vectors, each rotated by its position; ``known`` is a cache of at most ``most`` of them."""
+    whole = (1 << dim) - 1
+    for i, token in enumerate(tokens):
+        v = known.get(token)
+        if v is None:
+            if len(known) >= most:
+                known.clear()
+            v = known[token] = _symbol(token, dim)
+        r = i % dim
+        yield ((v << r) | (v >> (dim - r))) & whole
 
 
 def encode_text(text: str | None, dim: int) -> list[int]:
     """One text's sequence vector, for query literals."""
-    toks = [t for t in (text or "").split() if t]
-    if not toks:
-        return [0] * -(-dim // 32)
-    votes = sum(np.roll(_symbol(t, dim).astype(np.int32), i % dim) for i, t in enumerate(toks))
-    won = np.pad((2 * votes > len(toks)).astype(np.uint8), (0, -dim % 32))
-    return np.packbits(won, bitorder="little").view("<u4").astype(np.int64).tolist()
+    return _bundle(_rotated((text or "").split(), dim, {}, 1 << 20), dim)
+
 
+def encode_texts(texts: DataFrame, key: str, text: str, dim: int, cache_bytes: int = 1 << 26) -> DataFrame:
+    """``encode_sequences`` in Arrow batches: tokens stay in the task that reads the text, nothing is shuffled.
 
-def encode_texts(texts: DataFrame, key: str, text: str, dim: int, cache: int = 20_000) -> DataFrame:
-    """``encode_sequences`` in Arrow batches: tokens stay in the task that reads the text, nothing is shuffled."""
+    A task keeps the vectors of ``cache_bytes`` of tokens at most.
+    """
     kind = texts.schema[key].dataType.simpleString()
+    most = max(1, cache_bytes // (dim // 8 + 128))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}
         for frame in frames:
-            out = []
-            for t in frame[text]:
-                toks = (t or "").split()
-                votes = np.zeros(dim, np.int32)
-                for i, tok in enumerate(toks):
-                    if tok not in known:
-                        if len(known) >= cache:
-                            known.clear()
-                        known[tok] = _symbol(tok, dim)
-                    v, r = known[tok], i % dim
-                    votes[r:] += v[: dim - r]
-                    votes[:r] += v[dim - r :]
-                won = np.pad((2 * votes > len(toks)).astype(np.uint8) if toks else np.zeros(dim, np.uint8), (0, -dim % 32))
-                out.append(np.packbits(won, bitorder="little").view("<u4").astype(np.int64))
-            yield pd.DataFrame({key: frame[key], "hv": out})
+            yield pd.DataFrame({key: frame[key], "hv": [_bundle(_rotated((t or "").split(), dim, known, most), dim) for t in frame[text]]})
 
     return texts.select(key, text).mapInPandas(run, f"{key} {kind}, hv array<long>")

@@ -66,6 +66,33 @@ def test_links_across_shards_and_blocks(spark, monkeypatch):
     assert m.vector_groups(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_separated_pivots():
+    from memlake.llm.vectorlinks import _unit, separated
+
+    x = _unit(np.random.default_rng(4).normal(size=(700, 6)))
+    kept = separated(x, 700, 0.9)
+    assert 1 < len(kept) < 700 and np.array_equal(kept[0], x[0])
+    assert ((kept @ kept.T)[~np.eye(len(kept), dtype=bool)] < 0.9).all() and ((x @ kept.T).max(1) >= 0.9).all()
+    assert len(separated(x, 5, 0.9)) == 5 and len(separated(x[:0], 5, 0.9)) == 0
+
+
+def test_large_group_of_near_copies_keeps_its_links(spark, monkeypatch):
+    """A third of all rows are different near-copies of one vector, far more than a shard or a block."""
+    import memlake.llm.vectorlinks as m
+
+    monkeypatch.setattr(m, "SHARD", 25)
+    monkeypatch.setattr(m, "BLOCK", 96)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(750, 16))
+    x[:250] = rng.normal(size=16) + 0.05 * rng.normal(size=(250, 16))
+    rows = [(i, [float(v) for v in x[i].astype(np.float32)], 1, 7) for i in range(len(x))]
+    want = brute_links(rows)
+    assert sum(n for n, _ in want.values()) >= 50_000
+    got = {r.vec_id: (r.n_links, r.component_id) for r in m.vector_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+
+
 def brute_top(rows, k=20):
     ok = [(r[0], [math.floor(64 * v) for v in r[1]]) for r in rows if r[1] and all(v is not None and math.isfinite(v) for v in r[1])]
     out = []

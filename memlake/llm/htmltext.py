@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +42,13 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)(?=\s|/|$)", re.I)
-_UNCLOSED = {"li", "p", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
+# Implied end tags: what a start tag ends inside its table or list, what ends an open p, what shields p from that, and what shields li, dt and dd.
+_CELLS = frozenset("caption colgroup td th".split())
+_ENDS = dict.fromkeys(("td", "th"), _CELLS) | {"tr": _CELLS | {"tr"}} | dict.fromkeys(("tbody", "thead", "tfoot"), _CELLS | {"tr", "tbody", "thead", "tfoot"})
+_ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+_ENDS_P = _BLOCKS - set("html body tr tbody thead tfoot legend optgroup option".split())
+_HOLDS_P = ("table", "td", "th", "caption", "button", "object", "marquee")
+_WALLS = _BLOCKS - {"address", "div", "p"} | _CELLS | {"button", "select", "object", "marquee"}
 
 
 def _marked(tag: str, attrs: str, in_article: bool) -> bool:
@@ -69,7 +76,20 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool, bool]], bool]:
     """
     out: list[tuple[str, str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
+    at: dict[str, list[int]] = defaultdict(list)  # the places of each tag in the stack
+    walls: list[int] = []  # those of the tags in _WALLS
     main = bad = found = False
+
+    def end(i: int) -> tuple[bool, bool]:
+        """Close the element at place ``i`` and all in it; what held outside of it."""
+        for tag, _, _ in stack[i:]:
+            at[tag].pop()
+        while walls and walls[-1] >= i:
+            walls.pop()
+        _, main, bad = stack[i]
+        del stack[i:]
+        return main, bad
+
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -89,20 +109,27 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool, bool]], bool]:
             out.append(("t:" + tag, "", main, bad))
             if tag in _VOID or attrs.endswith("/") and tag not in _BLOCKS:
                 continue
-            if tag in _UNCLOSED and stack and stack[-1][0] == tag:
-                _, main, bad = stack.pop()
-            elif tag in _BLOCKS and tag not in ("p", "li") and stack and stack[-1][0] == "p":
-                _, main, bad = stack.pop()
+            if tag in _ENDS and at["table"]:
+                if open_ := [at[x][-1] for x in _ENDS[tag] if at[x] and at[x][-1] > at["table"][-1]]:
+                    main, bad = end(min(open_))
+            else:  # without a table, cells end only what directly holds them
+                ends = _ENDS.get(tag) or _ITEMS.get(tag, ())
+                while walls and stack[walls[-1]][0] in ends:
+                    main, bad = end(walls[-1])
+            if tag == "option" and stack and stack[-1][0] == tag:
+                main, bad = end(len(stack) - 1)
+            if tag in _ENDS_P and at["p"] and at["p"][-1] > max((at[x][-1] for x in _HOLDS_P if at[x]), default=-1):
+                main, bad = end(at["p"][-1])
+            at[tag].append(len(stack))
+            if tag in _WALLS:
+                walls.append(len(stack))
             stack.append((tag, main, bad))
             bad = bad or _marked(tag, attrs, main)
             if not bad and (tag in ("article", "main") or "articlebody" in attrs.lower()):
                 main = found = True
         else:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == tag:
-                    _, main, bad = stack[i]
-                    del stack[i:]
-                    break
+            if at[tag]:
+                main, bad = end(at[tag][-1])
             out.append(("t:" + tag, "", main, bad))
     out.append(("b", "", main, bad))
     return out, found

@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns the columns of
 documents; the last returns packed pieces. Empty tables pass through; null texts are rejected by the first stage.
+A row without doc_id is a document like any other: its language, copies and packing are its own, and of near-duplicates
+it is kept where none has an id.
 """
 
 from __future__ import annotations
@@ -20,20 +22,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 
 
-def _matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the doc_id; without one, a number above all ids, the same for rows that are equal throughout."""
+    top, bare = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
+    room = 2**63 - 1 - max(top, 0)
+    if bare and room < 2**61:
+        raise ValueError("no room above the ids for keys of rows without one")
+    own = F.lit(max(top, 0) + 1).cast("long") + F.pmod(F.xxhash64("text", "lang", "source", "n_chars"), F.lit(room).cast("long"))
+    return docs.select(*COLUMNS, (F.coalesce("doc_id", own) if bare else F.col("doc_id")).alias("_key"))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """For the operators: the key as doc_id."""
+    return keyed.drop("doc_id").withColumnRenamed("_key", "doc_id")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: they have letters, and the calibrated score is LEAST_SCORE or more."""
-    found = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return _matching(docs, found.select("doc_id"))
+    found = identify(docs, carried=COLUMNS)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; rows that repeat an id count as one."""
-    groups = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id"))
-    return _matching(docs, groups.select("doc_id")).dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    groups = simhash_groups(_by_key(keyed)).where(F.col("doc_id") == F.col("component_id"))
+    return keyed.join(groups.select(F.col("doc_id").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +57,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often (0 to 3 times) as the mix takes it."""
-    taken = mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("_copies")).hint("shuffle_hash")  # the same join at every size
-    each = docs.select(*COLUMNS).join(taken, "doc_id")
+    keyed = _keyed(docs)
+    taken = mix(_by_key(keyed)).where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies")).hint("shuffle_hash")  # the same join at every size
+    bare = keyed.where("doc_id is null").dropDuplicates(["_key"])  # equal rows have their copies in common
+    each = keyed.where("doc_id is not null").union(bare).join(taken, "_key")
     return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 

@@ -192,23 +192,28 @@ def train(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE,
     return model
 
 
-def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """Per row of ``docs`` (``doc_id, text, lang``): ``doc_id, held_out, lang_pred, score``.
+def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (``doc_id, text, lang``): ``doc_id, held_out, lang_pred, score``, and the columns ``carried``.
 
     Texts that are null or have no letter are ``und`` with score 0, as is every text if no document has a ``lang``
     to learn from. Equal texts get equal predictions; an empty table gives no rows; at most the 1000 commonest
     languages are learned; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, fold, sample))
+    rest = [c for c in carried if c not in ("doc_id", "text")]
+    more = [c for c in carried if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             known = model.value
             langs, scores = known.predict(batch.column(1).to_pylist()) if known and known.languages else ([UNKNOWN] * len(ids), np.zeros(len(ids)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(held_out(ids.to_pylist(), folds, fold)), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+            found = [ids, pa.array(held_out(ids.to_pylist(), folds, fold)), pa.array(langs, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays([*found, *(batch.column(c) for c in more)], ["doc_id", "held_out", "lang_pred", "score", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    kinds = "".join(f", `{c}` {read.schema[c].dataType.simpleString()}" for c in more)
+    return read.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + kinds)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ from memlake.llm.shared import staged
 from memlake.llm.simhash import simhash_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.4
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,9 +37,9 @@ def _by_key(keyed: DataFrame) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: they have letters, and the calibrated score is LEAST_SCORE or more."""
+    """Documents whose language can be told, however close the choice: all but those without letters."""
     found = identify(docs, carried=COLUMNS)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,11 @@ def test_rows_without_doc_id_go_through_every_stage(spark):
     assert len(want) == 2 and len(bare(mixed)) == sum(r["sum(copies)"] for r in want) > 0 and set(bare(mixed)) <= set(words)
     packed = cp.pack_sequences(spark, mixed, SF)
     assert packed.where("doc_id is null").count() == len(bare(mixed))
+
+
+def test_documents_of_close_languages_are_kept(spark):
+    rows = [(i, f"na to je {'ab'[i % 2]}", f"x{i % 6}", "s", 9) for i in range(240)] + [(240, "12", "x1", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    best = {r.doc_id: r.score for r in identify(docs).collect()}
+    assert max(best.values()) < 0.6 and sum(x < 0.4 for x in best.values()) > 100
+    assert {r.doc_id for r in cp.keep_identified(spark, docs, SF).collect()} == set(range(240))

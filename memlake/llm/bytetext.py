@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .xxh import xxh64
+
 CHUNK_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
@@ -18,22 +20,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_RNG = np.random.default_rng(20240229)
-_SYMBOL = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            full = np.full(n, base, np.uint64)
-            full[0] = 1
-            _POWERS[k] = np.multiply.accumulate(full)
-    return _POWERS[0], _POWERS[1]
-
-
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows ``lo:hi`` with their bytes and ``hi-lo+1`` offsets; a text longer than ``limit`` comes alone. Null: empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -72,18 +58,50 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, the same wherever a word stands: a polynomial over random symbols, mixed."""
-    power, inverse = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_SYMBOL[buf] * power[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+#: Words of up to this many bytes are their own key.
+SHORT = 15
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit keys of the words, as two halves: the bytes and the length of a word of up to SHORT bytes, so that
+    equal keys are equal words; of a longer word two XXH64 with a mark that no short word has."""
+    lens = ends - starts
+    padded = np.concatenate([buf, np.zeros(16, np.uint8)])
+    u64 = np.ndarray(len(buf) + 9, "<u8", padded, strides=(1,))
+    lo = u64[starts] & _KEEP[np.minimum(lens, 8)]
+    hi = np.zeros(len(lens), np.uint64)
+    more = np.flatnonzero(lens > 8)
+    hi[more] = u64[starts[more] + 8] & _KEEP[np.minimum(lens[more] - 8, 7)]
+    hi |= np.minimum(lens, 255).astype(np.uint64) << np.uint64(56)
+    big = np.flatnonzero(lens > SHORT)
+    if len(big):
+        lo[big] = xxh64(buf, starts[big], ends[big], 1)
+        hi[big] = xxh64(buf, starts[big], ends[big], 2) | np.uint64(0xFF << 56)
+    return lo, hi
+
+
+def mixed(lo: np.ndarray, hi: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits of both halves; different keys may share them."""
+    h = (lo ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ hi) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def in_groups(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, and where in it each key begins."""
+    if not len(lo):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(mixed(lo, hi), kind="stable")
+    differs = lambda: np.concatenate([[True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])])
+    m, cut = mixed(lo, hi)[order], differs()
+    if (cut[1:] & (m[1:] == m[:-1])).any():  # different keys of like mix may lie interleaved
+        order = np.lexsort((lo, hi))
+        cut = differs()
+    return order, np.flatnonzero(cut)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, chunks, ranges, word_hashes, words
+from .bytetext import LOWER, SHORT, chunks, mixed, ranges, word_keys, words
 from .shared import staged
 
 CAPACITY = 4096
@@ -47,42 +47,66 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.mix, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lo, self.hi, self.long = np.zeros(0, np.uint64), np.zeros(0, np.uint64), {}
+        self.at, self.flat, self.odd = np.zeros(1, np.int64), np.zeros(0, np.uint32), {}
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, texts: list[bytes]) -> np.ndarray:
+        """Slots of new words."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))
-        slot = len(self.at) - 1 + np.arange(len(keys))
+        slots = len(self.at) - 1 + np.arange(len(got))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, flat])
-        order = np.argsort(keys)
-        where = np.searchsorted(self.keys, keys[order])
-        self.keys, self.slot = np.insert(self.keys, where, keys[order]), np.insert(self.slot, where, slot[order])
+        self.flat = np.concatenate([self.flat, np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))])
+        return slots
+
+    def _known(self, mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.mix):
+            return np.zeros(len(mix), np.int64), np.zeros(len(mix), bool)
+        i = np.minimum(np.searchsorted(self.mix, mix), len(self.mix) - 1)
+        return i, self.mix[i] == mix
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of a chunk one after another, and ``len(offs)`` bounds."""
+        """The ids of all texts of a chunk one after another, and ``len(offs)`` bounds.
+
+        Words are looked up by a hash, and every hit is confirmed by the word itself: its key up to SHORT bytes, its bytes beyond.
+        """
         low = self.fold[buf]
         starts, ends, bounds = words(low, offs)
-        codes, uniq = pd.factorize(word_hashes(low, starts, ends).view(np.int64))
-        uniq = uniq.view(np.uint64)
-        if len(self.keys) > self.most:
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        if len(self.mix) + len(self.odd) > self.most:
             self.clear()
-        i = np.minimum(np.searchsorted(self.keys, uniq), max(len(self.keys) - 1, 0))
-        new = self.keys[i] != uniq if len(self.keys) else np.ones(len(uniq), bool)
-        if new.any():
-            first = np.zeros(len(uniq), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            data = low.tobytes()
-            s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn(uniq[new], [data[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            i = np.searchsorted(self.keys, uniq)
-        slot = self.slot[i][codes] if len(codes) else np.zeros(0, np.int64)
+        lo, hi = word_keys(low, starts, ends)
+        codes, uniq = pd.factorize(mixed(lo, hi).view(np.int64))
+        uniq = uniq.view(np.uint64)
+        first = np.zeros(len(uniq), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        data = low.tobytes()
+        word = lambda t: data[starts[t] : ends[t]]
+        i, hit = self._known(uniq)
+        if not hit.all():
+            new = np.flatnonzero(~hit)
+            slots = self._learn([word(t) for t in first[new].tolist()])
+            order = np.argsort(uniq[new])
+            where = np.searchsorted(self.mix, uniq[new][order])
+            for name, value in (("mix", uniq[new]), ("slot", slots), ("lo", lo[first[new]]), ("hi", hi[first[new]])):
+                setattr(self, name, np.insert(getattr(self, name), where, value[order]))
+            self.long |= {int(s): word(t) for s, t in zip(slots, first[new].tolist(), strict=True) if ends[t] - starts[t] > SHORT}
+            i, _ = self._known(uniq)
+        of = i[codes]
+        slot = self.slot[of]
+        odd = (self.lo[of] != lo) | (self.hi[of] != hi)
+        for t in np.flatnonzero(~odd & (ends - starts > SHORT)).tolist():
+            odd[t] = self.long[int(slot[t])] != word(t)
+        for t in np.flatnonzero(odd).tolist():  # another word of the same hash
+            if word(t) not in self.odd:
+                self.odd[word(t)] = int(self._learn([word(t)])[0])
+            slot[t] = self.odd[word(t)]
         source = self.at[slot]
-        sizes = self.at[slot + 1] - source if len(slot) else source
+        sizes = self.at[slot + 1] - source
         ends_at = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[ranges(source, sizes)] if len(slot) else np.zeros(0, np.uint32), ends_at[bounds]
+        return self.flat[ranges(source, sizes)], ends_at[bounds]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,18 +1,18 @@
 """Language-model scores by prediction by partial matching over bytes (operator 3).
 
-The trie holds the byte contexts of up to five bytes of the training texts with the counts of the
+The trie holds the byte contexts of up to ORDER bytes of the training texts with the counts of the
 bytes that followed. A byte is coded in the longest context that the trie has; a byte not seen there
 costs an escape (method D: distinct / (2 * total)) and is coded one byte shorter with the
 symbols already ruled out excluded from the counts, down to a uniform choice among the bytes never
 seen. A text's code ends with an end symbol, so scores of finished texts form a distribution.
 
-No context is left out, however large the corpus, and no task or broadcast holds the trie: texts are dealt
-to chunks, each chunk's distinct grams (five bytes and the next) are counted over all chunks, and
-grams that end alike meet in one task, which has all of their longer contexts and prices each of them (the counts of
-single bytes and byte pairs, 65,536 at most, are broadcast). The prices go back to the chunks that asked for
-them. The unigram baseline needs every word's count at every text that has it: the few words that
-make up at least 1/200,000 of all tokens (at most 200,000 words, whatever the corpus) are broadcast, the others meet
-their texts in buckets of word hashes, none of which such a word can dominate.
+No context is left out, however large the corpus, and no task or broadcast holds the trie. Texts are dealt to chunks.
+A gram is a context, last byte first, and the byte after it; a chunk's distinct grams, sorted, packed and
+compressed, go to shards that are ranges of grams, cut at quantiles of a sample (which decides balance, never results),
+so a frequent ending is cut as finely as it takes. All contexts but those that a cut runs through lie whole in one shard.
+Shards first report the counts of the few contexts at their two cuts; these are summed up, and then every shard prices its
+grams and sends the prices back to the chunks. Words for the unigram baseline go the same way, in buckets of word keys,
+and come back with their counts; a chunk sends a word once, so no frequent word can dominate a bucket.
 """
 
 from __future__ import annotations
@@ -24,22 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, chunks, ranges, word_hashes, words
+from .bytetext import LOWER, chunks, in_groups, mixed, ranges, word_keys, words
 from .shared import staged
 
-ORDER = 5
+ORDER = 7  # 7 at most: a gram is a 64-bit key
 END = 0xFF  # never a byte of UTF-8
-END_WORD = np.uint64(0x5851F42D4C957F2C)
-HEAD_SHARE = 200_000
-BUCKET_TOKENS = 1_000_000
-CHUNK_TEXT = 1 << 24
-ROW_BITS = 20
-SHARD_GRAMS = 250_000
-SPLIT = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("texts", pa.binary())])
+#: Bytes of text of a chunk, of those that one shard of grams and one bucket of words stand for, and texts of a chunk.
+CHUNK_TEXT, SHARD_TEXT, CHUNK_ROWS = 1 << 24, 1 << 25, 1 << 20
+SAMPLE_TEXT, SAMPLE_KEYS = 1 << 13, 64  # sampled bytes of text and grams for each shard
+GRAMS, WORDS, TEXTS = range(3)
+PACKED = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
 
 
 def held_out(ids: list, folds: int, fold: int) -> np.ndarray:
@@ -47,115 +46,143 @@ def held_out(ids: list, folds: int, fold: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in ids], bool)
 
 
-def _stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text between ORDER end symbols and one; and where each begins."""
-    lens = np.diff(offs)
-    at = np.cumsum(lens + ORDER + 1) - (lens + ORDER + 1)
-    out = np.full(int(lens.sum()) + (ORDER + 1) * len(lens), END, np.uint8)
-    out[ranges(at + ORDER, lens)] = buf
-    return out, at
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit values, their bytes in planes, compressed."""
+    head = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays))
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    sizes = np.frombuffer(data, "<i8", int(np.frombuffer(data, "<i8", 1)[0]), 8).tolist()
+    at, out = 8 + 8 * len(sizes), []
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel())
+        at += 8 * n
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=np.uint64(0))
 
 
-def _grams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    s, at = _stream(buf, offs)
-    if len(s) <= ORDER:
+def grams_of(buf: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    """The gram at every byte and end of the texts: the ``order`` bytes before, last first in the high bits, and the byte."""
+    lens = np.diff(offs)
+    at = np.cumsum(lens + order + 1) - (lens + order + 1)
+    s = np.full(int(lens.sum()) + (order + 1) * len(lens), END, np.uint8)  # each text between `order` end symbols and one
+    s[ranges(at + order, lens)] = buf
+    if len(s) <= order:
         return np.zeros(0, np.uint64)
-    x = np.zeros(len(s) - ORDER, np.uint64)
-    for k in range(ORDER + 1):
-        x = (x << np.uint64(8)) | s[k : len(s) - ORDER + k]
+    x = np.zeros(len(s) - order, np.uint64)
+    for back in [*range(1, order + 1), 0]:
+        x = (x << np.uint64(8)) | s[order - back : len(s) - back]
     keep = np.ones(len(x), bool)
-    keep[(at[1:, None] - np.arange(1, ORDER + 1)[None, :]).ravel()] = False
+    keep[(at[1:, None] - np.arange(1, order + 1)[None, :]).ravel()] = False
     return x[keep]
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[cut], np.add.reduceat(counts[order], cut)
+
+
 class _Tally:
     """Counts of 64-bit keys, compacted as they grow."""
 
     def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.last = 0, 0
 
     def add(self, keys: np.ndarray) -> None:
         if len(keys):
             keys = np.sort(keys)
             cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self._push(keys[cut], np.diff(np.append(cut, len(keys))))
+            self.parts.append((keys[cut], np.diff(np.append(cut, len(keys)))))
+            self.size += len(cut)
             if self.size > 2 * self.last + 2_000_000:
                 self.compact()
 
-    def _push(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.size += len(keys)
-
     def compact(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.add.reduceat(counts[order], cut)
-        self.keys, self.counts, self.size, self.last = [], [], 0, len(cut)
-        self._push(keys[cut], counts)
-        return keys[cut], counts
-
-
-def _split(folds: int, fold: int, chunk_text: int):
-    """Texts dealt to chunks of about ``chunk_text`` bytes (kind 2, packed), with each chunk's distinct grams (0) and the word counts (1)."""
-
-    def texts(batch: pa.RecordBatch, chunk: int, first: int) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        return pa.RecordBatch.from_pylist([{"kind": 2, "chunk": chunk, "row": (chunk << ROW_BITS) + first, "texts": sink.getvalue().to_pybytes()}], schema=SPLIT)
+        keys, counts = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.uint64, np.int64), zip(*self.parts, strict=True) if self.parts else ((), ()), strict=True))
+        keys, counts = _summed(keys, counts)
+        self.parts, self.size, self.last = [(keys, counts)], len(keys), len(keys)
+        return keys, counts
+
+
+def _split(folds: int, fold: int, order: int, chunk_text: int, cuts, buckets: int):
+    """Texts dealt to chunks, and each chunk's distinct grams by shard and words by bucket with their counts in training texts."""
+
+    def row(kind: int, chunk: int, shard: int, n: int, body: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, chunk, shard, n, body), PACKED.types, strict=True)], schema=PACKED)
+
+    def finish(chunk: int, known: _Tally, unknown: _Tally, vocab: list) -> Iterator[pa.RecordBatch]:
+        keys, counts = known.compact()
+        only = np.setdiff1d(unknown.compact()[0], keys, assume_unique=True)
+        keys, counts = _summed(np.concatenate([keys, only]), np.concatenate([counts, np.zeros(len(only), np.int64)]))
+        at = [0, *np.searchsorted(keys, cuts.value).tolist(), len(keys)]
+        for shard, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            if b > a:
+                yield row(GRAMS, chunk, shard, b - a, pack(_steps(keys[a:b]), counts[a:b]))
+        if vocab:
+            lo, hi, n = (np.concatenate(x) for x in zip(*vocab, strict=True))
+            o, cut = in_groups(lo, hi)
+            lo, hi, n = lo[o][cut], hi[o][cut], np.add.reduceat(n[o], cut)
+            bucket = (mixed(lo, hi, 1) >> np.uint64(32)) % np.uint64(buckets)
+            o = np.lexsort((lo, hi, bucket))
+            lo, hi, n, bucket = lo[o], hi[o], n[o], bucket[o]
+            at = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64)).tolist()
+            for b in range(buckets):
+                if at[b + 1] > at[b]:
+                    own = slice(at[b], at[b + 1])
+                    yield row(WORDS, chunk, b, at[b + 1] - at[b], pack(lo[own], _steps(hi[own]), n[own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unknown, vocab = _Tally(), _Tally(), _Tally()
-        chunk, rows, size = TaskContext.get().partitionId() << ROW_BITS, 0, 0
+        known, unknown, vocab = _Tally(), _Tally(), []
+        chunk, rows, size = TaskContext.get().partitionId() << 24, 0, 0
         for batch in batches:
             train = ~held_out(batch.column(0).to_pylist(), folds, fold)
-            for lo, hi, buf, offs in chunks(batch.column(1)):
-                if size and (size + len(buf) > chunk_text or rows + hi - lo >= 1 << ROW_BITS):
-                    yield from _grams_of(chunk, known, unknown)
+            for a, b, buf, offs in chunks(batch.column(1)):
+                if rows and (size + len(buf) > chunk_text or rows + b - a > CHUNK_ROWS):
+                    yield from finish(chunk, known, unknown, vocab)
+                    known, unknown, vocab = _Tally(), _Tally(), []
                     chunk, rows, size = chunk + 1, 0, 0
-                yield texts(batch.slice(lo, hi - lo), chunk, rows)
-                rows, size = rows + hi - lo, size + len(buf) + hi - lo
-                low, own = LOWER[buf], train[lo:hi]
+                rows, size = rows + b - a, size + len(buf)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                own = train[a:b]
+                yield row(TEXTS, chunk, 0, int(own.sum()), sink.getvalue().to_pybytes())
+                low = LOWER[buf]
                 starts, ends, bounds = words(low, offs)
-                learned = np.repeat(own, np.diff(bounds))
-                vocab.add(np.concatenate([word_hashes(low, starts[learned], ends[learned]) | np.uint64(1), np.full(int(own.sum()), END_WORD | np.uint64(1))]))
-                grams, of_train = _grams(low, offs), np.repeat(own, np.diff(offs) + 1)
+                lo, hi = word_keys(low, starts, ends)
+                o, cut = in_groups(lo, hi)
+                if len(cut):
+                    vocab.append((lo[o][cut], hi[o][cut], np.add.reduceat(np.repeat(own, np.diff(bounds))[o].astype(np.int64), cut)))
+                grams, of_train = grams_of(low, offs, order), np.repeat(own, np.diff(offs) + 1)
                 known.add(grams[of_train])
                 unknown.add(grams[~of_train])
-                if vocab.size > 3_000_000 and len(vocab.compact()[0]) > 2_500_000:  # bounded memory: hand these on and start anew
-                    yield from _rows(1, 0, *vocab.compact())
-                    vocab = _Tally()
-        yield from _grams_of(chunk, known, unknown)
-        yield from _rows(1, 0, *vocab.compact())
+        if rows:
+            yield from finish(chunk, known, unknown, vocab)
 
     return run
 
 
-def _grams_of(chunk: int, known: _Tally, unknown: _Tally) -> Iterator[pa.RecordBatch]:
-    """All distinct grams of a chunk with their counts in training texts; the tallies are emptied."""
-    keys, counts = known.compact()
-    only = np.setdiff1d(unknown.compact()[0], keys, assume_unique=True)
-    yield from _rows(0, chunk, np.concatenate([keys, only]), np.concatenate([counts, np.zeros(len(only), np.int64)]))
-    known.__init__()
-    unknown.__init__()
-
-
-def _rows(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(keys), 200_000):
-        k = keys[i : i + 200_000].view(np.int64)
-        n = len(k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, chunk)), pa.array(k), pa.array(counts[i : i + n].astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SPLIT)
+def _sampled(order: int, one_of: int):
+    """Of the texts' distinct grams those whose mixed value is divisible by ``one_of``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offs in chunks(batch.column(0)):
+                keys = np.unique(grams_of(LOWER[buf], offs, order))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[mixed(keys, keys) % np.uint64(one_of) == 0].view(np.int64))], ["key"])
 
-def _bytes(k: int) -> np.uint64:
-    return np.uint64((1 << (8 * k)) - 1)
+    return run
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,44 +193,66 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, sorted_[at] == x
 
 
+def _cell(grams: np.ndarray, order: int, k: int) -> np.ndarray:
+    """The last ``k`` bytes of the contexts and the byte after."""
+    context = grams >> np.uint64(8 * (order + 1 - k)) if k else np.zeros(len(grams), np.uint64)
+    return (context << np.uint64(8)) | (grams & np.uint64(0xFF))
+
+
 class _Level:
     """Contexts of one length: their symbols' counts, totals and distinct symbols; and what the shorter context has besides."""
 
-    def __init__(self, k: int, cells: np.ndarray, counts: np.ndarray, up: _Level | None) -> None:
-        self.k, self.cells, self.counts = k, cells, counts
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, up: _Level | None) -> None:
+        self.cells, self.counts = cells, counts
         owner = cells >> np.uint64(8)
         cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(cells) else np.zeros(0, np.int64)
         self.contexts = owner[cut]
         self.distinct = np.diff(np.append(cut, len(cells)))
         self.total = np.add.reduceat(counts, cut) if len(cut) else np.zeros(0, np.int64)
-        if up is not None:
-            shared = up.counts[_find(up.cells, cells & _bytes(k))[0]] if len(cells) else counts
-            at = _find(up.contexts, self.contexts & _bytes(k - 1))[0]
-            self.left = up.total[at] - np.add.reduceat(shared, cut) if len(cut) else self.total
-            self.kinds = up.distinct[at] - self.distinct if len(cut) else self.distinct
+        if up is not None and len(cut):
+            shared = up.counts[_find(up.cells, ((owner >> np.uint64(8)) << np.uint64(8)) | (cells & np.uint64(0xFF)))[0]]
+            at = _find(up.contexts, self.contexts >> np.uint64(8))[0]
+            self.left = up.total[at] - np.add.reduceat(shared, cut)
+            self.kinds = up.distinct[at] - self.distinct
+
+
+def _own_cells(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The cells of all context lengths, from 0, with their counts, of sorted distinct grams."""
+    out = [(keys, counts)]
+    for k in range(order - 1, -1, -1):
+        cells, n = out[0]
+        shorter = ((cells >> np.uint64(16)) << np.uint64(8)) | (cells & np.uint64(0xFF)) if k else cells & np.uint64(0xFF)
+        out.insert(0, _summed(shorter, n))
+    return out
 
 
-def _levels(short: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray) -> list[_Level]:
-    """Levels 0 and 1 from the counts of all byte pairs; the longer ones from the grams given, which hold all that end alike."""
+def levels_of(keys: np.ndarray, counts: np.ndarray, order: int, cut: dict[int, dict[int, tuple[list[int], list[int]]]]) -> list[_Level]:
+    """Levels 0 to ``order`` of sorted distinct grams; contexts in ``cut`` (by length) have the symbols and counts given there instead."""
     out: list[_Level] = []
-    for k in range(ORDER + 1):
-        x, n = (short if k < 2 else (keys, counts))
-        x, back = np.unique(x & _bytes(k + 1), return_inverse=True)
-        out.append(_Level(k, x, np.bincount(back, n, minlength=len(x)).astype(np.int64), out[-1] if k else None))
+    for k, (cells, n) in enumerate(_own_cells(keys, counts, order)):
+        if given := cut.get(k):
+            whole = ~np.isin(cells >> np.uint64(8), np.array(list(given), np.uint64))
+            more = [np.array(s, np.uint64) | np.uint64(c << 8) for c, (s, _) in given.items()]
+            cells = np.concatenate([cells[whole], *more])
+            n = np.concatenate([n[whole], *(np.array(x, np.int64) for _, x in given.values())])
+            o = np.argsort(cells, kind="stable")
+            cells, n = cells[o], n[o]
+        out.append(_Level(cells, n, out[-1] if k else None))
     return out
 
 
 def log_probabilities(grams: np.ndarray, levels: list[_Level]) -> np.ndarray:
-    """Log10 probability of the last byte of each gram after the others."""
+    """Log10 probability of the byte of each gram after its context."""
+    order = len(levels) - 1
     log = lambda x: np.log10(np.maximum(x, 1))
-    best = rest = np.full(len(grams), -math.log10(257 - len(levels[0].cells)))
+    best = rest = np.full(len(grams), -math.log10(max(257 - len(levels[0].cells), 1)))
     before = np.zeros(len(grams), np.int64)
-    for level in levels:
-        k = level.k
-        at, has = _find(level.contexts, (grams >> np.uint64(8)) & _bytes(k))
+    for k, level in enumerate(levels):
+        cells = _cell(grams, order, k)
+        at, has = _find(level.contexts, cells >> np.uint64(8))
         if not has.any():
             break
-        cell, seen = _find(level.cells, grams & _bytes(k + 1))
+        cell, seen = _find(level.cells, cells)
         n = np.where(seen, level.counts[cell], 0)
         if k:  # symbols of this context are ruled out in the shorter one
             left = log(2 * level.left[at])
@@ -213,128 +262,148 @@ def log_probabilities(grams: np.ndarray, levels: list[_Level]) -> np.ndarray:
     return best
 
 
-def _priced(short):
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The grams of each chunk, and of all of them the distinct ones and their counts."""
+    got = [unpack(x) for x in table.column("body").to_pylist()]
+    own = [np.cumsum(steps, dtype=np.uint64) for steps, _ in got]
+    return own, *_summed(np.concatenate(own), np.concatenate([n.view(np.int64) for _, n in got]))
+
+
+def _at_cuts(order: int, cuts):
+    """Of a shard the own counts of the contexts, of each length, that its lower and upper cut run through."""
+    schema = pa.schema([("shard", pa.int32()), ("k", pa.int32()), ("context", pa.int64()), ("symbols", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        levels = _levels(short.value, keys[counts > 0], counts[counts > 0])
-        return pa.table({"key": keys.view(np.int64), "logp": log_probabilities(keys, levels).astype(np.float32)})
+        shard = table.column("shard")[0].as_py()
+        _, keys, n = _merged(table)
+        ends = np.concatenate([[np.uint64(0)], cuts.value, [np.uint64(0xFFFFFFFFFFFFFFFF >> (8 * (7 - order)))]])[shard : shard + 2].astype(np.uint64)
+        rows = []
+        for k, (cells, count) in enumerate(_own_cells(keys[n > 0], n[n > 0], order)):
+            for context in sorted(set((_cell(ends, order, k) >> np.uint64(8)).tolist())):
+                a, b = np.searchsorted(cells, np.array([context << 8, (context << 8) | 0xFF], np.uint64))
+                b += b < len(cells) and cells[b] == (context << 8) | 0xFF
+                rows.append({"shard": shard, "k": k, "context": context, "symbols": (cells[a:b] & np.uint64(0xFF)).astype(np.int32).tolist(), "counts": count[a:b].tolist()})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    return run, "shard int, k int, context long, symbols array<int>, counts array<long>"
+
+
+def _priced(order: int):
+    def run(table: pa.Table, cut: pa.Table) -> pa.Table:
+        own, keys, n = _merged(table)
+        given: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
+        for r in cut.to_pylist():
+            given.setdefault(r["k"], {})[r["context"]] = [x["symbol"] for x in r["cells"] or ()], [x["n"] for x in r["cells"] or ()]
+        prices = log_probabilities(keys, levels_of(keys[n > 0], n[n > 0], order, given))
+        bodies = []
+        for x in own:
+            code, price = pd.factorize(prices[np.searchsorted(keys, x)])
+            bodies.append(pack(_steps(x), code.astype(np.int64), price))
+        return pa.table({"kind": pa.array([GRAMS] * len(own), pa.int8()), "chunk": table.column("chunk"), "body": pa.array(bodies, pa.binary())})
 
     return run
 
 
-def _apply(head, buckets: int, folds: int, fold: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary())])
-
-    def spill(held: list) -> Iterator[pa.RecordBatch]:
-        h, r = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-        b = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(b.astype(np.uint16) if buckets < 65536 else b, kind="stable")
-        b, h, r = b[order], h[order], r[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
-        got = [(int(b[i]), h[i:j].tobytes(), r[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
-        n = len(got)
-        if n:
-            none = [pa.nulls(n, t) for t in schema.types[:7]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())], schema=schema)
-
-    def unpacked(texts: pa.Table) -> Iterator[tuple]:
-        for at, packed in zip(texts.column("row").to_pylist(), texts.column("texts"), strict=True):
-            got = pa.ipc.open_stream(packed.as_buffer()).read_all()
-            ids = got.column(0).combine_chunks()
-            out = held_out(ids.to_pylist(), folds, fold)
-            for part in chunks(got.column(1)):
-                yield ids, out, at, *part
-
-    def run(texts: pa.Table, priced: pa.Table) -> pa.Table:
-        keys, logs = head.value
-        index, logp = pd.Index(priced.column("key").to_numpy()), priced.column("logp").to_numpy()
-        held, parts = [], []
-        for ids, out, at, lo, hi, buf, offs in unpacked(texts):
-            low = LOWER[buf]
-            starts, ends, bounds = words(low, offs)
-            h = word_hashes(low, starts, ends) | np.uint64(1)
-            doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
-            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-            top = keys[i] == h if len(keys) else np.zeros(len(h), bool)
-            rows = at + np.arange(lo, hi)
-            n_known = np.bincount(doc[top], minlength=hi - lo)
-            base = np.bincount(doc[top], logs[i[top]], minlength=hi - lo) if len(keys) else np.zeros(hi - lo)
-            mark = np.where(out[lo:hi], np.uint64(0), np.uint64(1))  # the lowest bit says whether it counts
-            rare = ~top
-            held.append(((h[rare] ^ np.uint64(1)) | mark[doc[rare]], rows[doc[rare]]))
-            got = logp[index.get_indexer(_grams(low, offs).view(np.int64))].astype(np.float64)
-            first = offs[:-1] + np.arange(hi - lo)
-            nothing = [pa.nulls(hi - lo, t) for t in schema.types[7:]]
-            parts.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(rows), pa.array(out[lo:hi]), pa.array(np.diff(bounds) + 1), pa.array(n_known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(np.add.reduceat(got, first)), *nothing], schema=schema))
-        if any(len(h) for h, _ in held):
-            parts.extend(spill(held))
+def _counted(table: pa.Table) -> pa.Table:
+    """The words of one bucket go back to the chunks with their counts; how many words and tokens of training texts there are."""
+    got = [unpack(x) for x in table.column("body").to_pylist()]
+    los, his = [lo for lo, _, _ in got], [np.cumsum(hi, dtype=np.uint64) for _, hi, _ in got]
+    n = np.concatenate([n.view(np.int64) for _, _, n in got])
+    o, cut = in_groups(np.concatenate(los), np.concatenate(his))
+    total = np.add.reduceat(n[o], cut)
+    each = np.empty(len(o), np.int64)
+    each[o] = np.repeat(total, np.diff(np.append(cut, len(o))))
+    at = np.cumsum([0, *map(len, los)]).tolist()
+    bodies = [pack(lo, _steps(hi), each[a:b]) for lo, hi, a, b in zip(los, his, at[:-1], at[1:], strict=True)]
+    rest = [0] * (len(bodies) - 1)
+    return pa.table({"kind": pa.array([WORDS] * len(bodies), pa.int8()), "chunk": table.column("chunk"), "body": pa.array(bodies, pa.binary()), "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64()), "tokens": pa.array([int(total.sum()), *rest], pa.int64())})
+
+
+def _scored(order: int, folds: int, fold: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds, bodies = answers.column("kind").to_pylist(), answers.column("body")
+        of = lambda kind: [unpack(bodies[i].as_py()) for i, k in enumerate(kinds) if k == kind]
+        words_, grams_ = of(WORDS), of(GRAMS)
+        lo, hi, n = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (([w[0] for w in words_]), ([np.cumsum(w[1], dtype=np.uint64) for w in words_]), ([w[2] for w in words_])))
+        n = n.view(np.int64)
+        salt = 2
+        while len(vocab := pd.Index(mixed(lo, hi, salt).view(np.int64))) and not vocab.is_unique:  # all words asked for are among these, so unlike values tell them apart
+            salt += 1
+        index = pd.Index(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in grams_)]).view(np.int64))
+        price = np.concatenate([np.zeros(0), *(g[2].view(np.float64)[g[1].view(np.int64)] for g in grams_)])
+        parts = []
+        for body in texts.column("body"):
+            got = pa.ipc.open_stream(body.as_buffer()).read_all()
+            ids, out = got.column(0).combine_chunks(), held_out(got.column(0).to_pylist(), folds, fold)
+            for a, b, buf, offs in chunks(got.column(1)):
+                low = LOWER[buf]
+                starts, ends, bounds = words(low, offs)
+                doc = np.repeat(np.arange(b - a), np.diff(bounds))
+                count = n[vocab.get_indexer(mixed(*word_keys(low, starts, ends), salt).view(np.int64))] if len(doc) else np.zeros(0, np.int64)
+                known = np.bincount(doc[count > 0], minlength=b - a).astype(np.int64)
+                base = np.bincount(doc, np.log10(count + 0.1), minlength=b - a)
+                each = price[index.get_indexer(grams_of(low, offs, order).view(np.int64))]
+                score = np.add.reduceat(each, offs[:-1] + np.arange(b - a))
+                parts.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(out[a:b]), pa.array(np.diff(bounds) + 1), pa.array(known), pa.array(base), pa.array(score)], schema=schema))
         return pa.Table.from_batches(parts, schema=schema)
 
-    return run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, hashes binary, rows binary"
+    return run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Counts of the words of one bucket, summed up for each text that has them."""
-    h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-    r = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.int64)
-    order = np.argsort(h, kind="stable")
-    word, train = h[order] >> np.uint64(1), (h[order] & np.uint64(1)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    counts = np.repeat(np.add.reduceat(train, cut), np.diff(np.append(cut, len(word))))
-    codes, uniq = pd.factorize(r[order])
-    return pa.table({"row": uniq, "k": np.bincount(codes, counts > 0).astype(np.int64), "s": np.bincount(codes, np.log10(counts + 0.1))})
+def _quantiles(docs: DataFrame, order: int, size: int, shards: int) -> np.ndarray:
+    """Cuts between ``shards`` ranges of grams, from a sample of about SAMPLE_KEYS grams a shard."""
+    share = min(1.0, max(shards * SAMPLE_TEXT, 1 << 20) / max(size, 1))
+    one_of = max(1, int(size * share) // (4 * SAMPLE_KEYS * shards))
+    keys = docs.where(F.rand(5) < share).select("text").mapInArrow(_sampled(order, one_of), "key long").toArrow().column("key").to_numpy().astype(np.uint64)
+    keys = np.sort(keys)
+    return np.unique(keys[np.arange(1, shards) * len(keys) // shards]) if len(keys) >= shards else keys[:0]
 
 
-def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0, chunk_text: int = CHUNK_TEXT) -> DataFrame:
+def ppm_scores(docs: DataFrame, folds: int = 10, fold: int = 0, chunk_text: int = CHUNK_TEXT, shard_text: int = SHARD_TEXT, order: int = ORDER) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Rows with ``crc32(doc_id as text) mod folds = fold`` are held out of training. Null and empty texts
     have one token, the end; equal texts score alike; with nothing to learn from, every byte is uniform
-    over 257 symbols; an empty table gives no rows; other columns are not read.
+    over 257 symbols; an empty table gives no rows; other columns are not read. A word of any length is one word:
+    up to 15 bytes it is its own key, beyond its 120-bit hash is. Scores do not depend on ``chunk_text`` (bytes of a chunk) or ``shard_text``.
     """
-    spark = docs.sparkSession
+    if not 1 <= order <= 7:
+        raise ValueError("order must be 1 to 7")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = staged(docs.mapInArrow(_split(folds, fold, chunk_text), "kind byte, chunk long, key long, n long, row long, texts binary"), "split")
-    pairs, counts = split.where("kind = 0").select("chunk", "key", "n"), split.where("kind = 1")
-    counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    total, distinct = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = counts.where((F.col("kind") == 1) & (F.col("n") * HEAD_SHARE >= total)).select("key", "n").toPandas()
-    keys = head.key.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    ends = int(head.n[keys == (END_WORD | np.uint64(1))].sum()) if len(head) else 0
-    if total and not ends:  # one end a text: rare where texts are longer than HEAD_SHARE words
-        ends = counts.where((F.col("kind") == 1) & (F.col("key") == int((END_WORD | np.uint64(1)).astype(np.int64)))).agg(F.sum("n")).first()[0] or 0
-    sc = spark.sparkContext
-    grams = staged(pairs.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    low = F.lit(0xFFFF).cast("long")
-    short = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(low).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    short = sc.broadcast((short.column("key").to_numpy().astype(np.uint64), short.column("n").to_numpy()))
-    shards = max(64, -(-grams.count() // SHARD_GRAMS))
-    priced = grams.withColumn("shard", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(low)), F.lit(shards))).groupBy("shard").applyInArrow(_priced(short), "key long, logp float")
-    priced = pairs.select("chunk", "key").join(priced.hint("merge"), "key").select(F.col("chunk").alias("of"), "key", "logp")
-    small = sc.broadcast((keys[order], np.log10(head.n.to_numpy(np.float64)[order] + 0.1)))
-    buckets = max(32, -(-(total - int(head.n.sum())) // BUCKET_TOKENS))
-    run, schema = _apply(small, buckets, folds, fold)
-    texts = split.where("kind = 2").select("chunk", "row", "texts")
-    both = staged(texts.groupBy("chunk").cogroup(priced.groupBy("of")).applyInArrow(run, schema), "scored")
-    rare = both.where("bucket is not null").select("bucket", "hashes", "rows").groupBy("bucket").applyInArrow(_meet, "row long, k long, s double")
-    rare = rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
-    each = both.where("bucket is null").select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score")
-    denominator = math.log10(total + 0.1 * (distinct + 1))
-    end_log, end_known = math.log10(ends + 0.1), int(ends > 0)
-    out = each.join(rare, "row", "left")
-    return out.select(
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(8, -(-size // shard_text))
+    sc = docs.sparkSession.sparkContext
+    cuts = sc.broadcast(_quantiles(docs, order, size, shards))
+    split = staged(docs.mapInArrow(_split(folds, fold, order, chunk_text, cuts, shards), "kind byte, chunk long, shard int, n long, body binary"), "split")
+    of = lambda kind: split.where(F.col("kind") == kind)
+    grams = of(GRAMS).select("chunk", "shard", "body")
+    run, schema = _at_cuts(order, cuts)
+    at_cuts = staged(grams.groupBy("shard").applyInArrow(run, schema), "cuts")
+    cells = at_cuts.select("k", "context", F.explode(F.arrays_zip("symbols", "counts")).alias("x")).groupBy("k", "context", F.col("x.symbols").alias("symbol")).agg(F.sum("x.counts").alias("n"))
+    cells = cells.groupBy("k", "context").agg(F.collect_list(F.struct("symbol", "n")).alias("cells"))  # 256 at most
+    needed = at_cuts.select("shard", "k", "context").join(cells, ["k", "context"], "left")
+    counted = staged(of(WORDS).select("chunk", "shard", "body").groupBy("shard").applyInArrow(_counted, "kind byte, chunk long, body binary, distinct long, tokens long"), "words")
+    distinct, tokens = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ends = of(TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one end a training text
+    total, distinct = tokens + ends, distinct + (ends > 0)
+    priced = grams.groupBy("shard").cogroup(needed.groupBy("shard")).applyInArrow(_priced(order), "kind byte, chunk long, body binary")
+    answers = priced.union(counted.select("kind", "chunk", "body")).withColumnRenamed("chunk", "of")
+    run, schema = _scored(order, folds, fold)
+    each = of(TEXTS).select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, schema)
+    denominator, end = math.log10(total + 0.1 * (distinct + 1)), math.log10(ends + 0.1)
+    return each.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0)) + end_known).alias("n_known"),
+        (F.col("n_known") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("s", F.lit(0.0)) + end_log - F.col("n_tokens") * denominator).alias("base_score"),
+        (F.col("base") + end - F.col("n_tokens") * denominator).alias("base_score"),
         "score",
     )
 
 
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``; null texts are empty, repeated rows are scored each, see ``ppm_scores``."""
     return ppm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

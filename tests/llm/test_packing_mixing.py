@@ -5,8 +5,11 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from memlake.llm import packing
+from memlake.llm.bytetext import mixed, word_keys
 from memlake.llm.mixing import fit_budget, mix
 from memlake.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents, pieces, tokenizer_path
+from tests.llm.test_ppm import thue_morse
 from tests.llm.test_simhash import tokens
 
 
@@ -30,6 +33,20 @@ def test_ids_are_the_tokenizers_own(spark):
     assert dict(got) == {i: reference(t) for i, t, _ in rows}
 
 
+def test_words_of_like_hash_keep_their_own_ids(spark, monkeypatch):
+    t, f = thue_morse(1024)
+    rows = [(0, f"{t} {f} {t}"), (1, f), (2, " ".join(thue_morse(8192))), (3, "abcdefghijklmnop abcdefghijklmnoq abcdefghijklmno abcdefgh abcdefghi a"), *((i, " ".join(f"Wörd{i * j} {'x' * j}" for j in range(40))) for i in range(4, 20))]
+    ids = lambda r: list(encoder.encode(np.frombuffer(r.encode(), np.uint8), np.array([0, len(r.encode())]))[0])
+    for few in (False, True):
+        if few:  # nearly all words collide
+            monkeypatch.setattr(packing, "mixed", lambda lo, hi: mixed(lo, hi) & np.uint64(3))
+            monkeypatch.setattr(packing, "word_keys", lambda *a: tuple(np.where(k >> np.uint64(56) == 255, np.uint64(255 << 56), k) for k in word_keys(*a)))
+        encoder = packing.WordEncoder(tokenizer_path())
+        for _ in range(2):
+            for _, r in rows:
+                assert [*ids(r), 1] == reference(r)
+
+
 def check(rows, capacity):
     bins = defaultdict(list)
     for r in rows:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bytetext import LOWER, chunks, in_groups, mixed, ranges, word_keys, words
 from .shared import staged
 
-ORDER = 7  # 7 at most: a gram is a 64-bit key
+ORDER = 6  # 7 at most: a gram is a 64-bit key
 END = 0xFF  # never a byte of UTF-8
 #: Bytes of text of a chunk, of those that one shard of grams and one bucket of words stand for, and texts of a chunk.
 CHUNK_TEXT, SHARD_TEXT, CHUNK_ROWS = 1 << 24, 1 << 25, 1 << 20
@@ -99,17 +99,19 @@ class _Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.last = 0, 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, counted: bool) -> None:
+        """Count the keys, or only take note of them."""
         if len(keys):
-            keys = np.sort(keys)
+            keys.sort()
             cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.parts.append((keys[cut], np.diff(np.append(cut, len(keys)))))
+            self.parts.append((keys[cut], np.diff(np.append(cut, len(keys))).astype(np.int32) if counted else np.zeros(len(cut), np.int32)))
             self.size += len(cut)
-            if self.size > 2 * self.last + 2_000_000:
+            if self.size > 2 * self.last + 1_000_000:
                 self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.uint64, np.int64), zip(*self.parts, strict=True) if self.parts else ((), ()), strict=True))
+        keys, counts = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.uint64, np.int32), zip(*self.parts, strict=True) if self.parts else ((), ()), strict=True))
+        self.parts = []
         keys, counts = _summed(keys, counts)
         self.parts, self.size, self.last = [(keys, counts)], len(keys), len(keys)
         return keys, counts
@@ -121,14 +123,12 @@ def _split(folds: int, fold: int, order: int, chunk_text: int, cuts, buckets: in
     def row(kind: int, chunk: int, shard: int, n: int, body: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, chunk, shard, n, body), PACKED.types, strict=True)], schema=PACKED)
 
-    def finish(chunk: int, known: _Tally, unknown: _Tally, vocab: list) -> Iterator[pa.RecordBatch]:
-        keys, counts = known.compact()
-        only = np.setdiff1d(unknown.compact()[0], keys, assume_unique=True)
-        keys, counts = _summed(np.concatenate([keys, only]), np.concatenate([counts, np.zeros(len(only), np.int64)]))
+    def finish(chunk: int, seen: _Tally, vocab: list) -> Iterator[pa.RecordBatch]:
+        keys, counts = seen.compact()
         at = [0, *np.searchsorted(keys, cuts.value).tolist(), len(keys)]
         for shard, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if b > a:
-                yield row(GRAMS, chunk, shard, b - a, pack(_steps(keys[a:b]), counts[a:b]))
+                yield row(GRAMS, chunk, shard, b - a, pack(_steps(keys[a:b]), counts[a:b].astype(np.int64)))
         if vocab:
             lo, hi, n = (np.concatenate(x) for x in zip(*vocab, strict=True))
             o, cut = in_groups(lo, hi)
@@ -143,14 +143,14 @@ def _split(folds: int, fold: int, order: int, chunk_text: int, cuts, buckets: in
                     yield row(WORDS, chunk, b, at[b + 1] - at[b], pack(lo[own], _steps(hi[own]), n[own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unknown, vocab = _Tally(), _Tally(), []
+        seen, vocab = _Tally(), []
         chunk, rows, size = TaskContext.get().partitionId() << 24, 0, 0
         for batch in batches:
             train = ~held_out(batch.column(0).to_pylist(), folds, fold)
             for a, b, buf, offs in chunks(batch.column(1)):
                 if rows and (size + len(buf) > chunk_text or rows + b - a > CHUNK_ROWS):
-                    yield from finish(chunk, known, unknown, vocab)
-                    known, unknown, vocab = _Tally(), _Tally(), []
+                    yield from finish(chunk, seen, vocab)
+                    seen, vocab = _Tally(), []
                     chunk, rows, size = chunk + 1, 0, 0
                 rows, size = rows + b - a, size + len(buf)
                 sink = pa.BufferOutputStream()
@@ -165,10 +165,10 @@ def _split(folds: int, fold: int, order: int, chunk_text: int, cuts, buckets: in
                 if len(cut):
                     vocab.append((lo[o][cut], hi[o][cut], np.add.reduceat(np.repeat(own, np.diff(bounds))[o].astype(np.int64), cut)))
                 grams, of_train = grams_of(low, offs, order), np.repeat(own, np.diff(offs) + 1)
-                known.add(grams[of_train])
-                unknown.add(grams[~of_train])
+                seen.add(grams[of_train], True)
+                seen.add(grams[~of_train], False)
         if rows:
-            yield from finish(chunk, known, unknown, vocab)
+            yield from finish(chunk, seen, vocab)
 
     return run
 

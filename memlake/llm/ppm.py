@@ -35,7 +35,8 @@ from .shared import staged
 ORDER = 6  # 7 at most: a gram is a 64-bit key
 END = 0xFF  # never a byte of UTF-8
 #: Bytes of text of a chunk, of those that one shard of grams and one bucket of words stand for, and texts of a chunk.
-CHUNK_TEXT, SHARD_TEXT, CHUNK_ROWS = 1 << 24, 1 << 25, 1 << 20
+CHUNK_TEXT, SHARD_TEXT, CHUNK_ROWS = 1 << 24, 1 << 23, 1 << 20
+UNIT = 2.0**24  # prices of bytes travel and are summed up in whole parts of this
 SAMPLE_TEXT, SAMPLE_KEYS = 1 << 13, 64  # sampled bytes of text and grams for each shard
 GRAMS, WORDS, TEXTS = range(3)
 PACKED = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
@@ -294,11 +295,10 @@ def _priced(order: int):
         given: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
         for r in cut.to_pylist():
             given.setdefault(r["k"], {})[r["context"]] = [x["symbol"] for x in r["cells"] or ()], [x["n"] for x in r["cells"] or ()]
-        prices = log_probabilities(keys, levels_of(keys[n > 0], n[n > 0], order, given))
+        prices = np.rint(log_probabilities(keys, levels_of(keys[n > 0], n[n > 0], order, given)) * -UNIT).astype(np.int64)
         bodies = []
         for x in own:
-            code, price = pd.factorize(prices[np.searchsorted(keys, x)])
-            bodies.append(pack(_steps(x), code.astype(np.int64), price))
+            bodies.append(pack(_steps(x), prices[np.searchsorted(keys, x)]))
         return pa.table({"kind": pa.array([GRAMS] * len(own), pa.int8()), "chunk": table.column("chunk"), "body": pa.array(bodies, pa.binary())})
 
     return run
@@ -332,7 +332,7 @@ def _scored(order: int, folds: int, fold: int):
         while len(vocab := pd.Index(mixed(lo, hi, salt).view(np.int64))) and not vocab.is_unique:  # all words asked for are among these, so unlike values tell them apart
             salt += 1
         index = pd.Index(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(g[0], dtype=np.uint64) for g in grams_)]).view(np.int64))
-        price = np.concatenate([np.zeros(0), *(g[2].view(np.float64)[g[1].view(np.int64)] for g in grams_)])
+        price = np.concatenate([np.zeros(0, np.int64), *(g[1].view(np.int64) for g in grams_)])
         parts = []
         for body in texts.column("body"):
             got = pa.ipc.open_stream(body.as_buffer()).read_all()
@@ -346,7 +346,7 @@ def _scored(order: int, folds: int, fold: int):
                 base = np.bincount(doc, np.log10(count + 0.1), minlength=b - a)
                 each = price[index.get_indexer(grams_of(low, offs, order).view(np.int64))]
                 score = np.add.reduceat(each, offs[:-1] + np.arange(b - a))
-                parts.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(out[a:b]), pa.array(np.diff(bounds) + 1), pa.array(known), pa.array(base), pa.array(score)], schema=schema))
+                parts.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(out[a:b]), pa.array(np.diff(bounds) + 1), pa.array(known), pa.array(base), pa.array(score / -UNIT)], schema=schema))
         return pa.Table.from_batches(parts, schema=schema)
 
     return run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"

@@ -46,7 +46,7 @@ def thue_morse(n):
     return s, s.translate({97: 98, 98: 97})
 
 
-@pytest.mark.parametrize("order, shard_text", [(5, 1 << 25), (7, 1 << 12)])
+@pytest.mark.parametrize("order, shard_text", [(5, 1 << 23), (7, 1 << 12)])
 def test_against_brute_force(spark, order, shard_text):
     rnd = random.Random(1)
     vocab = ["the", "of", "Und", "naïve", "x1", "zz", "abc", "q"]
@@ -64,7 +64,7 @@ def test_against_brute_force(spark, order, shard_text):
     for i, r in got.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(words[i]), sum(c[w] > 0 for w in words[i]), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in words[i]), rel_tol=1e-9)
-        assert math.isclose(r.score, brute_ppm(trie, low[i].encode(), order), rel_tol=1e-9), i
+        assert math.isclose(r.score, brute_ppm(trie, low[i].encode(), order), rel_tol=1e-7), i
 
 
 def test_empty_and_repeated(spark):
@@ -88,4 +88,4 @@ def test_scores_do_not_depend_on_chunks(spark):
     for r in many:
         o = one[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (o.held_out, o.n_tokens, o.n_known, o.train_tokens)
-        assert math.isclose(r.score, o.score, rel_tol=1e-9) and math.isclose(r.base_score, o.base_score, rel_tol=1e-9)
+        assert r.score == o.score and math.isclose(r.base_score, o.base_score, rel_tol=1e-9)

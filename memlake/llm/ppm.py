@@ -36,7 +36,8 @@ ORDER = 6  # 7 at most: a gram is a 64-bit key
 END = 0xFF  # never a byte of UTF-8
 #: Bytes of text of a chunk, of those that one shard of grams and one bucket of words stand for, and texts of a chunk.
 CHUNK_TEXT, SHARD_TEXT, CHUNK_ROWS = 1 << 24, 1 << 23, 1 << 20
-UNIT = 2.0**24  # prices of bytes travel and are summed up in whole parts of this
+PIECE = 1 << 20  # bytes of text looked at at once
+UNIT = 2.0**20  # prices of bytes travel and are summed up in whole parts of this
 SAMPLE_TEXT, SAMPLE_KEYS = 1 << 13, 64  # sampled bytes of text and grams for each shard
 GRAMS, WORDS, TEXTS = range(3)
 PACKED = pa.schema([("kind", pa.int8()), ("chunk", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
@@ -107,7 +108,7 @@ class _Tally:
             cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             self.parts.append((keys[cut], np.diff(np.append(cut, len(keys))).astype(np.int32) if counted else np.zeros(len(cut), np.int32)))
             self.size += len(cut)
-            if self.size > 2 * self.last + 1_000_000:
+            if self.size > self.last + 1_500_000:
                 self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray]:
@@ -148,14 +149,14 @@ def _split(folds: int, fold: int, order: int, chunk_text: int, cuts, buckets: in
         chunk, rows, size = TaskContext.get().partitionId() << 24, 0, 0
         for batch in batches:
             train = ~held_out(batch.column(0).to_pylist(), folds, fold)
-            for a, b, buf, offs in chunks(batch.column(1)):
+            for a, b, buf, offs in chunks(batch.column(1), PIECE):
                 if rows and (size + len(buf) > chunk_text or rows + b - a > CHUNK_ROWS):
                     yield from finish(chunk, seen, vocab)
                     seen, vocab = _Tally(), []
                     chunk, rows, size = chunk + 1, 0, 0
                 rows, size = rows + b - a, size + len(buf)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                     out.write_batch(batch.slice(a, b - a))
                 own = train[a:b]
                 yield row(TEXTS, chunk, 0, int(own.sum()), sink.getvalue().to_pybytes())
@@ -179,7 +180,7 @@ def _sampled(order: int, one_of: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(0)):
+            for _, _, buf, offs in chunks(batch.column(0), PIECE):
                 keys = np.unique(grams_of(LOWER[buf], offs, order))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[mixed(keys, keys) % np.uint64(one_of) == 0].view(np.int64))], ["key"])
 
@@ -337,7 +338,7 @@ def _scored(order: int, folds: int, fold: int):
         for body in texts.column("body"):
             got = pa.ipc.open_stream(body.as_buffer()).read_all()
             ids, out = got.column(0).combine_chunks(), held_out(got.column(0).to_pylist(), folds, fold)
-            for a, b, buf, offs in chunks(got.column(1)):
+            for a, b, buf, offs in chunks(got.column(1), PIECE):
                 low = LOWER[buf]
                 starts, ends, bounds = words(low, offs)
                 doc = np.repeat(np.arange(b - a), np.diff(bounds))

@@ -18,50 +18,64 @@ from .shared import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
-DP_BUDGET = 1 << 17
+#: What the dynamic program works on: sums below the first (its memory), and about the second of them over all its steps.
+DP_SUMS, DP_WORK = 1 << 25, 1 << 32
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1, seed: int = 42) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum up to ``budget`` or as near below as found.
 
-    The last step may take each document up to ``copies`` times.
+    Each document may be taken up to ``copies`` times. Every size gives its proportional share; while what is left is more
+    than the dynamic program's range, the largest sizes that fit are taken; then as much is given back as the range holds,
+    and the bounded-knapsack program fills it exactly. So the result is the best one wherever the budget fits the range.
     """
-    take = np.zeros(len(sizes), np.int64)
-    total = int((sizes * counts).sum())
-    if budget <= 0 or total <= 0:
+    take, some = np.zeros(len(sizes), np.int64), np.flatnonzero((sizes > 0) & (counts > 0))
+    if budget <= 0 or not len(some):
         return take
-    if budget >= total:
-        return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    left = budget - int((take * sizes).sum())
-    order = np.random.default_rng(seed).permutation(len(sizes))
-    for i in order[np.argsort(-sizes[order], kind="stable")]:
-        if left <= DP_BUDGET:
+    unit = int(np.gcd.reduce(sizes[some]))
+    size, count, budget = (sizes[some] // unit).tolist(), counts[some].tolist(), budget // unit
+    total, most = sum(s * n for s, n in zip(size, count, strict=True)), [copies * n for n in count]
+    got = [min(m, n * budget // total) for m, n in zip(most, count, strict=True)]
+    left = budget - sum(s * k for s, k in zip(size, got, strict=True))
+    order = np.random.default_rng(seed).permutation(len(size)).tolist()
+    steps = sum(m.bit_length() for m in most)
+    span = min(DP_SUMS, max(DP_WORK // steps, 1 << 17))
+    for i in sorted(order, key=lambda i: -size[i]):
+        if left <= span:
             break
-        if sizes[i] > 0:
-            more = min(int(counts[i] - take[i]), left // int(sizes[i]))
-            take[i] += more
-            left -= more * int(sizes[i])
-    if left <= 0:
-        return take
-    left = min(left, DP_BUDGET)  # more only where all documents are taken
-    reach, full, steps = 1, (1 << (left + 1)) - 1, []
-    for i in order.tolist():
-        size, free = int(sizes[i]), int(min(copies * counts[i] - take[i], left // max(int(sizes[i]), 1)))
-        part = 1
-        while size > 0 and free > 0:  # binary split of the bounded count
+        more = min(most[i] - got[i], left // size[i])
+        got[i], left = got[i] + more, left - more * size[i]
+    spare = [s for s, k, m in zip(size, got, most, strict=True) if k < m]
+    if left and spare:
+        span = max(span, min(2 * min(spare), DP_SUMS))
+        for i in order:
+            back = min(got[i], max(span - left, 0) // size[i])
+            got[i], left = got[i] - back, left + back * size[i]
+        _fill(size, got, most, left, order)
+    take[some] = got
+    return take
+
+
+def _fill(size: list[int], got: list[int], most: list[int], left: int, order: list[int]) -> None:
+    """Add to ``got``, up to ``most``, so that ``left`` is filled as far as it can be: each sum notes the step that first reached it."""
+    reach, first, steps = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int32), []
+    reach[0] = True
+    for i in order:
+        free, part = min(most[i] - got[i], left // size[i]), 1
+        while free > 0 and not reach[left]:  # binary split of the bounded count
             part = min(part, free)
-            steps.append((i, part, reach))
-            reach |= (reach << (size * part)) & full
+            new = np.flatnonzero(reach[: left + 1 - size[i] * part]) + size[i] * part
+            new = new[~reach[new]]
+            reach[new], first[new] = True, len(steps)
+            steps.append((i, part))
             free, part = free - part, part * 2
-        if reach >> left & 1:
+        if reach[left]:
             break
-    at = reach.bit_length() - 1
-    for i, part, was in reversed(steps):
-        if not was >> at & 1:
-            take[i] += part
-            at -= part * int(sizes[i])
-    return take
+    at = int(np.flatnonzero(reach)[-1])
+    while at:  # the sum before a step was reached by earlier ones
+        i, part = steps[first[at]]
+        got[i] += part
+        at -= part * size[i]
 
 
 def targets(hist: DataFrame) -> DataFrame:

@@ -122,11 +122,27 @@ def test_mixing(spark):
     assert [r.taken for r in mix(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()] == [0, 0]
 
 
+def best_sum(sizes, counts, budget):
+    sums = {0}
+    for s, n in zip(sizes, counts, strict=True):
+        sums = {x + s * k for x in sums for k in range(n + 1) if x + s * k <= budget}
+    return max(sums)
+
+
 def test_fit_budget_exact():
     rng = np.random.default_rng(3)
-    for _ in range(30):
-        sizes, counts = np.unique(rng.integers(1, 3000, 40), return_counts=True)
-        counts = counts * rng.integers(1, 50, len(counts))
+    for copies in (1, 2, 3):
+        for most in (30, 3000, 2_000_000):
+            for _ in range(6):
+                sizes, counts = np.unique(rng.integers(1, most, 5), return_counts=True)
+                counts = counts * rng.integers(1, 3, len(counts))
+                b = int((sizes * counts).sum() * copies * rng.random())
+                k = fit_budget(sizes, counts, b, copies)
+                assert (k >= 0).all() and (k <= copies * counts).all()
+                assert (k * sizes).sum() == best_sum(sizes.tolist(), (copies * counts).tolist(), b)
+        sizes, counts = np.unique(rng.integers(1, 100_000, 3000), return_counts=True)
         b = int((sizes * counts).sum() * rng.random())
-        k = fit_budget(sizes, counts, b)
-        assert (k >= 0).all() and (k <= counts).all() and 0 <= b - (k * sizes).sum() <= 40
+        assert (fit_budget(sizes, counts, b, copies) * sizes).sum() == b
+    assert fit_budget(np.array([1_000_000, 100_000]), np.array([1, 5]), 900_000, 3).tolist() == [0, 9]
+    assert fit_budget(np.array([0, 7]), np.array([5, 2]), 100).tolist() == [0, 2]
+    assert fit_budget(np.array([], int), np.array([], int), 9).tolist() == []

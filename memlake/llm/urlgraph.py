@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import dropped, staged
 
 # Fixed values of the query: action, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 HREF = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'>\s]+)"
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.8
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.8
+HUB_LINKS, BROADCAST_HOSTS = 100_000, 200_000
 _UP, _LOW = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
 
 
@@ -47,27 +48,42 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank over ``src, dst, n`` from ``host, seed`` (seeds sum up to 1): ``host, rank``.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank over ``src, dst, n`` from ``host, seed`` (seeds sum up to 1): ``host, rank``, summing up to 1.
 
-    What a host without links out would pass on is lost, so ranks sum up to 1 at most.
+    What a host without links out would pass on returns to the seeds, which is to scale the ranks without it. Rounds go on
+    until no host is newly reached and the ranks' summed change is below ``tolerance``. The links of a host with many
+    are dealt to parts of about HUB_LINKS. No seeds: no ranks; no links: the seeds.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    step = staged(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "steps")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        moved = step.join(rank, step.src == rank.host).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.union(seeds.select("host", F.col("seed") * (1 - damping))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = staged(rank, "rank")
-    return rank
+    out = edges.groupBy("src").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / F.lit(float(HUB_LINKS))).cast("int").alias("parts"))
+    out = staged(out, "sources")
+    step = edges.join(out, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), (F.col("n") / F.col("total") * damping).alias("share"))
+    step = staged(step, "steps")
+    sent = out.select("src", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    start = staged(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds")
+    rank, hosts = start, start.count()
+    while True:
+        new = rank
+        for _ in range(4):
+            own = new.join(sent, new.host == sent.src).select("src", "part", "rank")
+            moved = step.join(own, ["src", "part"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            new = moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+        new = staged(new, "rank")
+        both = new.union(rank.select("host", -F.col("rank"))).groupBy("host").agg(F.abs(F.sum("rank")).alias("change"))
+        change, total = both.agg(F.coalesce(F.sum("change"), F.lit(0.0))).first()[0], new.agg(F.coalesce(F.sum("rank"), F.lit(0.0)), F.count("*")).first()
+        if rank is not start:
+            dropped(rank)
+        done, rank, hosts = total[1] == hosts and change <= tolerance * total[0], new, total[1]
+        if done:
+            dropped(step, out)
+            return rank.select("host", (F.col("rank") / F.lit(total[0] or 1.0)).alias("rank"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``pages`` (``page_id, url, html``): ``page_id, host, path, rule, verdict``.
 
-    Null urls and those without ``://`` have an empty host and path. Null html has no links. Rules are few: each
-    is an expression. Repeated rows are judged each; an empty table gives no rows; other columns are not read.
+    Null urls and those without ``://`` have an empty host and path, and are allowed where no rule fits. Null html has no links. Rules
+    are few: each is an expression. Repeated rows are judged each; an empty table gives no rows; other columns are not read.
     """
     ruled = judge_by_rules(pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), rules)
     slim = staged(ruled.select("page_id", "host", "path", "rule", "action"), "ruled")
@@ -77,12 +93,17 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     score = {}
     for name, total, edges in (("good", good, links), ("bad", bad, links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
         seeds = evidence.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(max(total, 1))).alias("seed"))
-        score[name] = propagate(edges, seeds).withColumnRenamed("rank", name) if not links.isEmpty() else seeds.withColumnRenamed("seed", name)
+        score[name] = propagate(edges, seeds).withColumnRenamed("rank", name)
     # back to pages: a host's trust and distrust are weighed by the evidence that there is of either
     hosts = score["good"].join(score["bad"], "host", "full").select("host", (F.coalesce("good", F.lit(0.0)) * good).alias("t"), (F.coalesce("bad", F.lit(0.0)) * bad).alias("d"))
-    blocked = hosts.where((F.col("d") > 0) & (F.col("d") >= threshold * (F.col("d") + F.col("t")))).select("host", F.lit("block").alias("judged"))
-    return slim.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("action", "judged", F.lit("allow")).alias("verdict"))
+    blocked = staged(hosts.where((F.col("d") > 0) & (F.col("d") >= threshold * (F.col("d") + F.col("t")))).select("host", F.lit("block").alias("judged")), "blocked")
+    if blocked.count() <= BROADCAST_HOSTS:
+        blocked = F.broadcast(blocked)
+    asked = F.col("action").isNull() & (F.col("host") != "")  # only these need a host's verdict
+    judged = slim.where(asked).join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("judged", F.lit("allow")).alias("verdict"))
+    return judged.union(slim.where(~asked).select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict")))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host verdicts for every row of ``pages``, by ``judge``."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -87,13 +87,57 @@ def test_urls(spark):
     assert judge(df.limit(0)).collect() == []
 
 
-def test_propagation_matches_power_iteration(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1)]
-    got = {r.host: r["rank"] for r in propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("a", 0.75), ("d", 0.25)], "host string, seed double"), 9).collect()}
-    want, out = {"a": 0.75, "d": 0.25}, {"a": 3, "b": 1, "c": 3, "d": 1}
-    for _ in range(9):
-        new = {"a": 0.15 * 0.75, "d": 0.15 * 0.25}
+def brute_rank(edges, seeds):
+    """Personalised PageRank whose dangling mass returns to the seeds, by power iteration."""
+    hosts = {x for s, d, _ in edges for x in (s, d)} | set(seeds)
+    out = {h: sum(n for s, _, n in edges if s == h) for h in hosts}
+    rank = dict.fromkeys(hosts, 0.0) | seeds
+    for _ in range(400):
+        lost = sum(rank[h] for h in hosts if not out[h])
+        new = {h: (0.15 + 0.85 * lost) * seeds.get(h, 0) for h in hosts}
         for s, d, n in edges:
-            new[d] = new.get(d, 0) + 0.85 * want.get(s, 0) * n / out[s]
-        want = new
-    assert all(abs(got[h] - want[h]) < 1e-12 for h in want)
+            new[d] += 0.85 * rank[s] * n / out[s]
+        rank = new
+    return {h: r for h, r in rank.items() if r}
+
+
+def test_propagation_matches_power_iteration(spark, monkeypatch):
+    from memlake.llm import urlgraph
+
+    monkeypatch.setattr(urlgraph, "HUB_LINKS", 2)
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("c", "e", 2), ("c", "f", 1), ("f", "g", 1)]
+    seeds = {"a": 0.75, "d": 0.25}
+    frame = lambda e: spark.createDataFrame(e, "src string, dst string, n long")
+    start = spark.createDataFrame(list(seeds.items()), "host string, seed double")
+    got = {r.host: r["rank"] for r in propagate(frame(edges), start, tolerance=1e-9).collect()}
+    want = brute_rank(edges, seeds)
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-7 for h in want)
+    assert {r.host: round(r["rank"], 9) for r in propagate(frame([]), start).collect()} == seeds
+    assert propagate(frame(edges), start.limit(0)).collect() == []
+
+
+def test_verdicts_end_to_end(spark):
+    """A chain of 30 hosts leads to a blocked one, others to allowed ones or both, hubs and repeated rows among them; every verdict is checked."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(0, "http://bad.com/de/1", None), (1, "http://good.org/a", link("n1.net", "n2.net")), (2, "http://n1.net/", link("n3.net")), (3, "http://n2.net/p", link("bad.com", "good.org")), (4, "http://lone.net/", None)]
+    rows += [(10 + i, f"http://c{i}.net/", link(f"c{i + 1}.net" if i < 29 else "bad.com")) for i in range(30)]
+    rows += [(50, "http://hub.net/", link(*(f"c{i}.net" for i in range(0, 30, 3)), "good.org", "good.org")), (51, "nothing", link("bad.com")), (52, None, None), (4, "http://lone.net/", None), (53, "http://bad.com/en/", None)]
+    got = {(r.page_id, r.host): r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    count, edges = {"allow": {}, "block": {}}, {}
+    for _, url, html in rows:
+        host, _, rule = brute_rule(url)
+        if rule:
+            count[rule[2]][host] = count[rule[2]].get(host, 0) + 1
+        for to in re.findall(r"//([^/]+)/x", html or ""):
+            if host and host != to:
+                edges[host, to] = edges.get((host, to), 0) + 1
+    score = {}
+    for kind, links in (("allow", [(s, d, n) for (s, d), n in edges.items()]), ("block", [(d, s, n) for (s, d), n in edges.items()])):
+        total = sum(count[kind].values())
+        score[kind] = {h: r * total for h, r in brute_rank(links, {h: n / total for h, n in count[kind].items()}).items()}
+    assert len(got) == len(rows) - 1
+    for i, url, _ in rows:
+        host, _, rule = brute_rule(url)
+        d, t = score["block"].get(host, 0), score["allow"].get(host, 0)
+        assert got[i, host] == (rule[2] if rule else "block" if d > 0 and d >= 0.8 * (d + t) else "allow"), url
+    assert got[10, "c0.net"] == "block" and got[4, "lone.net"] == "allow" and got[2, "n1.net"] == "allow"

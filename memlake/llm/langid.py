@@ -86,9 +86,7 @@ def _documents(folds: int, fold: int):
             train = ~held_out(ids, folds, fold)
             texts = [t for t, ok, g in zip(texts, train, langs, strict=True) if ok and g is not None and t]
             for lo, hi, ids_, rows, _ in features(texts):
-                has = np.zeros((hi - lo, 1 << BITS), bool)
-                has[rows, ids_] = True
-                df += has.sum(0)
+                df += np.bincount(np.unique((rows << BITS) | ids_) & ((1 << BITS) - 1), minlength=1 << BITS)
                 n += hi - lo
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(df[k], n))], ["k", "n"])
@@ -100,8 +98,10 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi, ids, rows, _ in features(texts):
+            order = np.argsort(rows, kind="stable")
+            at = np.searchsorted(rows[order], np.arange(hi - lo + 1))
             for i in range(hi - lo):
-                k, c = np.unique(ids[rows == i], return_counts=True)
+                k, c = np.unique(ids[order[at[i] : at[i + 1]]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([langs[lo + i]]), pa.array([k.astype(np.int32).tobytes()], pa.binary()), pa.array([c.astype(np.int32).tobytes()], pa.binary())], ["lang", "k", "c"])
 
 
@@ -128,14 +128,18 @@ class Regression:
         w = np.zeros_like(z)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
-                x = np.hstack([self._rows([docs[i] for i in part], columns), np.ones((len(part), 1), np.float32)])
-                p = self._softmax(x @ w.T)
+                own = np.unique(np.concatenate([docs[i][0] for i in part]))  # the other columns have no gradient
+                at = np.append(np.searchsorted(columns, own), len(columns))
+                x = np.hstack([self._rows([docs[i] for i in part], own), np.ones((len(part), 1), np.float32)])
+                was = w[:, at]
+                p = self._softmax(x @ was.T)
                 p[np.arange(len(part)), y[part]] -= 1
                 g = p.T @ x / len(part)
-                grown = n + g * g
-                z += g - (np.sqrt(grown) - np.sqrt(n)) / alpha * w
-                n = grown
-                w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2)).astype(np.float32)
+                old = n[:, at]
+                grown = old + g * g
+                moved = z[:, at] + g - (np.sqrt(grown) - np.sqrt(old)) / alpha * was
+                z[:, at], n[:, at] = moved, grown
+                w[:, at] = np.where(np.abs(moved) <= l1, 0, -(moved - np.sign(moved) * l1) / ((beta + np.sqrt(grown)) / alpha + l2))
         self.weights[:, columns], self.bias = w[:, :-1], w[:, -1]
         held = np.flatnonzero(apart)
         if len(held):
@@ -180,7 +184,7 @@ def train(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE,
     idf[list(df)] = np.log((1 + total) / (1 + np.array(list(df.values())))) + 1
     fit = docs.where("lang is not null and text is not null").where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != fold)
     sizes = staged(fit.groupBy("lang").agg(F.count("*").alias("n")), "langs")
-    at = fit.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)), "lang").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    at = fit.join(sizes, "lang").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     near = at.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.lit(2.0 * sample) / F.col("n"))  # about twice as many as wanted
     few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample)
     got = sorted(few.select("lang", "text").mapInArrow(_sparse, "lang string, k binary, c binary").toPandas().itertuples(index=False), key=lambda r: (r.lang, r.k, r.c))
@@ -196,8 +200,8 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
     """Per row of ``docs`` (``doc_id, text, lang``): ``doc_id, held_out, lang_pred, score``, and the columns ``carried``.
 
     Texts that are null or have no letter are ``und`` with score 0, as is every text if no document has a ``lang``
-    to learn from. Equal texts get equal predictions; an empty table gives no rows; at most the 1000 commonest
-    languages are learned; other columns are not read.
+    to learn from. Equal texts get equal predictions and repeated rows are told each; an empty table gives no rows; every value
+    of ``lang`` is learned (each takes 0.3 MB of the model, and 0.8 MB more while it is fitted); other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, fold, sample))
     rest = [c for c in carried if c not in ("doc_id", "text")]
@@ -217,4 +221,5 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPL
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, by ``identify``."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -46,7 +46,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int =
         more = min(most[i] - got[i], left // size[i])
         got[i], left = got[i] + more, left - more * size[i]
     spare = [s for s, k, m in zip(size, got, most, strict=True) if k < m]
-    if left and spare:
+    tried = list(got)
+    if left <= span and _fill(size, tried, most, left, order) == 0:
+        got = tried
+    elif spare:
         span = max(span, min(2 * min(spare), DP_SUMS))
         for i in order:
             back = min(got[i], max(span - left, 0) // size[i])
@@ -56,8 +59,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int =
     return take
 
 
-def _fill(size: list[int], got: list[int], most: list[int], left: int, order: list[int]) -> None:
-    """Add to ``got``, up to ``most``, so that ``left`` is filled as far as it can be: each sum notes the step that first reached it."""
+def _fill(size: list[int], got: list[int], most: list[int], left: int, order: list[int]) -> int:
+    """Add to ``got``, up to ``most``, so that ``left`` is filled as far as it can be, and return what remains: each sum notes the step that first reached it."""
     reach, first, steps = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int32), []
     reach[0] = True
     for i in order:
@@ -72,10 +75,12 @@ def _fill(size: list[int], got: list[int], most: list[int], left: int, order: li
         if reach[left]:
             break
     at = int(np.flatnonzero(reach)[-1])
+    rest = left - at
     while at:  # the sum before a step was reached by earlier ones
         i, part = steps[first[at]]
         got[i] += part
         at -= part * size[i]
+    return rest
 
 
 def targets(hist: DataFrame) -> DataFrame:

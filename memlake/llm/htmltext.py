@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 RAW = "script style noscript template svg math iframe object canvas audio video select button textarea title head datalist map"
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
+INLINE = "a abbr acronym b bdi bdo big caption cite code col colgroup data del dfn em font i ins kbd label mark meter output picture progress q rp rt ruby s samp slot small span strike strong sub sup td th time tt u var"
 ASIDE = "nav header footer aside form dialog menu search"
 ROLES = "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note"
 # Words of class and id names that mark what is not the article.
@@ -31,6 +32,7 @@ MARKS = (
     "more-stories teaser widget pagination pager paging toolbar skip hidden form search outbrain taboola tags"
 )
 
+_KNOWN = frozenset(f"t:{x}" for x in f"{RAW} {BLOCKS} {VOID} {INLINE}".split())
 _RAW, _BLOCKS, _VOID, _ASIDE = (frozenset(x.split()) for x in (RAW, BLOCKS, VOID, ASIDE))
 _ROLES, _MARKS = frozenset(ROLES.split()), frozenset(MARKS.split())
 _TOKEN = re.compile(
@@ -137,7 +139,7 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool, bool]], bool]:
 
 def _type(kind: str, main: bool, bad: bool, found: bool) -> str:
     if kind != "w":
-        return "t:aside" if bad else "t:main" if main else kind
+        return "t:aside" if bad else "t:main" if main else kind if kind in _KNOWN else "t:other"
     return "w:aside" if bad else "w:main" if main else "w:out" if found else "w"
 
 
@@ -150,19 +152,15 @@ def _tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for kind, text, main, bad in got:
                     if kind != "b" and (n := len(text.split()) if kind == "w" else 1):
                         inside = main and not bad
-                        for key in {_type(kind, main, bad, found), kind}:
+                        for key in {_type(kind, main, bad, found), kind if kind == "w" else _type(kind, False, False, found)}:
                             count.setdefault(key, [0, 0])[inside] += n
-        if len(count) > 50_000:
-            yield pd.DataFrame([(k, *v) for k, v in count.items()], columns=["kind", "n_out", "n_in"])
-            count = {}
     yield pd.DataFrame([(k, *v) for k, v in count.items()], columns=["kind", "n_out", "n_in"])
 
 
-def weights(pages: DataFrame, most: int = 5000) -> dict[str, float]:
-    """Token weights from all pages that mark their main part; the ``most`` commonest token types are told apart."""
+def weights(pages: DataFrame) -> dict[str, float]:
+    """Token weights from all pages that mark their main part; a tag that is no element of HTML is of one type with all such."""
     rows = pages.select(F.col("html").cast("string").alias("html")).mapInPandas(_tally, "kind string, n_out long, n_in long").groupBy("kind").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
-    rows = rows.orderBy((F.col("n_in") + F.col("n_out")).desc(), "kind").limit(most).collect()
-    n = {r.kind: (r.n_in, r.n_out) for r in rows}
+    n = {r.kind: (r.n_in, r.n_out) for r in rows.collect()}  # one row a type: words, and the elements of HTML
     all_in = sum(v[0] for k, v in n.items() if not k.startswith("w:")) + 1
     all_out = sum(v[1] for k, v in n.items() if not k.startswith("w:")) + 1
     odds = {k: math.log((a + 0.5) / (all_in + 1)) - math.log((b + 0.5) / (all_out + 1)) for k, (a, b) in n.items()}

@@ -260,4 +260,4 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best others for every ``embeddings`` row whose id is divisible by 20, by ``top_k``."""
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("n_scored")

@@ -115,11 +115,11 @@ def version_branching() -> Column:
 
 
 def consensus(e: Column, n: Column, e_votes: Column, n_votes: Column) -> Column:
-    """The content with more trust behind it; equal contents share one vote. Without votes the existing fact stays, to be reviewed."""
+    """The content with more trust behind it, never reviewed; equal contents share one vote. Without votes the existing fact stays, to be reviewed."""
     total = e_votes + n_votes
     winner = F.when(duplicate(e, n) | (total == 0), "existing").when(n_votes > e_votes, "new").otherwise("existing")
     share = F.when(total == 0, F.lit(None)).when(duplicate(e, n), F.lit(1.0)).otherwise(F.greatest(e_votes, n_votes) / F.when(total != 0, total))
-    return _result(winner, share, F.coalesce(share < 0.7, F.lit(True)))
+    return _result(winner, share, total == 0)
 
 
 def domain_rules(e: Column, n: Column, priority: list[str], immutable: list[str]) -> Column:

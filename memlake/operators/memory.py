@@ -127,7 +127,7 @@ def by_age(memories: DataFrame, as_of: Column, threshold: float) -> DataFrame:
     """Candidates at least 7 whole days old, younger ones scoring higher."""
     days = F.timestamp_diff("DAY", F.col("created_at"), as_of)
     m = memories.withColumn("days", days).where((F.col("days") >= 7) & ~F.col("is_consolidated")).withColumn("score", 1 - F.least(F.col("days") / 30.0, F.lit(1.0)))
-    return m.where(F.col("score") >= threshold).withColumn("reason", F.format_string("Temporal proximity: %d days old", F.col("days")))
+    return m.where(F.col("score") >= threshold).withColumn("reason", F.format_string("Age: %d days", F.col("days")))
 
 
 def consolidate(memories: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

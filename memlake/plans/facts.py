@@ -187,7 +187,7 @@ def _(spark, d):
     return result(p, conflict.trust_higher(F.round("e_trust", 9), F.round("n_trust", 9)))
 
 
-@plan("cf_consensus", _PAIRS.rstrip() + f", v AS (SELECT id, same AND eo = no AS dup, round({_EV}, 9) AS a, round({_NV}, 9) AS b FROM c) SELECT id, CASE WHEN dup OR a + b = 0 THEN 'existing' WHEN b > a THEN 'new' ELSE 'existing' END AS winner, round(CASE WHEN a + b = 0 THEN NULL WHEN dup THEN 1 ELSE greatest(a, b) / (a + b) END, 6) AS confidence, coalesce(CASE WHEN a + b = 0 THEN NULL WHEN dup THEN 1 ELSE greatest(a, b) / (a + b) END < 0.7, true) AS needs_review FROM v")
+@plan("cf_consensus", _PAIRS.rstrip() + f", v AS (SELECT id, same AND eo = no AS dup, round({_EV}, 9) AS a, round({_NV}, 9) AS b FROM c) SELECT id, CASE WHEN dup OR a + b = 0 THEN 'existing' WHEN b > a THEN 'new' ELSE 'existing' END AS winner, round(CASE WHEN a + b = 0 THEN NULL WHEN dup THEN 1 ELSE greatest(a, b) / (a + b) END, 6) AS confidence, a + b = 0 AS needs_review FROM v")
 def _(spark, d):
     p = conflict.with_source_trust(pairs(spark, d), trust(spark))
     return result(p, conflict.consensus(E(), N(), F.round("e_votes", 9), F.round("n_votes", 9)))

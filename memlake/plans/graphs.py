@@ -10,21 +10,23 @@ from memlake.functions import scalar
 from memlake.operators import graph
 
 PLANS: dict = {}
-_NODES = "SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 's' || s_suppkey FROM supplier"
+_NODES = "SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier"
 _EDGES = "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'nation' AS relationship FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'region' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'supplier' FROM supplier"
+# The edges of customers in debt dangle in the two queries about edges whose nodes are missing.
+_KNOWN = _NODES.replace("FROM customer", "FROM customer WHERE c_acctbal >= 0")
 _WITH = f"WITH nodes AS ({_NODES}), edges AS ({_EDGES}) "
 
 
-def tables(spark, d):
+def tables(spark, d, nodes=_NODES):
     for t in ("region", "nation", "customer", "supplier"):
         spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(f"memlake_{t}")
     fix = lambda q: re.sub(r"FROM (\w+)", r"FROM memlake_\1", q)
-    return spark.sql(fix(_NODES)), spark.sql(fix(_EDGES))
+    return spark.sql(fix(nodes)), spark.sql(fix(_EDGES))
 
 
 def plan(name, sql):
     def add(f):
-        PLANS[name] = (f, _WITH + sql if not sql.startswith("WITH") else sql)
+        PLANS[name] = (f, sql if sql.startswith("WITH") else (_WITH.replace(_NODES, _KNOWN) if name.startswith("gr_edge_") else _WITH) + sql)
         return f
 
     return add
@@ -53,12 +55,12 @@ def _(spark, d):
 
 @plan("gr_edge_reject", "SELECT src, dst, relationship FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
 def _(spark, d):
-    return graph.rejected_edges(*tables(spark, d))
+    return graph.rejected_edges(*tables(spark, d, _KNOWN))
 
 
 @plan("gr_edge_create", "SELECT relationship, count(*) AS n FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY relationship")
 def _(spark, d):
-    return graph.valid_edges(*tables(spark, d)).groupBy("relationship").agg(F.count("*").alias("n"))
+    return graph.valid_edges(*tables(spark, d, _KNOWN)).groupBy("relationship").agg(F.count("*").alias("n"))
 
 
 @plan("gr_counts", "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")

@@ -170,9 +170,9 @@ def _(spark, d):
     return memory.by_retention(events(spark, d), T(), 0.5).select("id", F.round("score", 6).alias("score"))
 
 
-@plan("co_temporal", "SELECT id, round(1 - least(date_sub('day', created_at, as_of) / 30.0::DOUBLE, 1.0::DOUBLE), 6) AS score FROM s WHERE date_sub('day', created_at, as_of) >= 7 AND NOT is_consolidated AND 1 - least(date_sub('day', created_at, as_of) / 30.0::DOUBLE, 1.0::DOUBLE) >= 0.45")
+@plan("co_temporal", "SELECT id, round(1 - least(date_sub('day', created_at, as_of) / 30.0::DOUBLE, 1.0::DOUBLE), 6) AS score, 'Age: ' || date_sub('day', created_at, as_of) || ' days' AS reason FROM s WHERE date_sub('day', created_at, as_of) >= 7 AND NOT is_consolidated AND 1 - least(date_sub('day', created_at, as_of) / 30.0::DOUBLE, 1.0::DOUBLE) >= 0.45")
 def _(spark, d):
-    return memory.by_age(events(spark, d), T(), 0.45).select("id", F.round("score", 6).alias("score"))
+    return memory.by_age(events(spark, d), T(), 0.45).select("id", F.round("score", 6).alias("score"), "reason")
 
 
 @plan("co_consolidate", "SELECT id, is_consolidated OR access_count >= 12 AS is_consolidated, CASE WHEN access_count >= 12 THEN stability * 1.5 ELSE stability END AS stability FROM s")

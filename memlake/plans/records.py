@@ -79,16 +79,17 @@ def _(spark, d):
     return made.select("id", "modality", "base_retention", "intention.status", "intention.priority")
 
 
-@plan("in_parse_trigger", "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'Immediate' WHEN 1 THEN 'TimeBasedAt' WHEN 3 THEN 'TimeBasedAfter' WHEN 4 THEN 'EventBased' END AS kind, CASE WHEN event_id % 6 = 1 THEN TIMESTAMP '2024-01-05 06:00:00' END AS due, CASE WHEN event_id % 6 = 3 THEN event_id END AS after_s, CASE WHEN event_id % 6 = 4 THEN event_type END AS event FROM events")
+@plan("in_parse_trigger", "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'Immediate' WHEN 1 THEN 'TimeBasedAt' WHEN 3 THEN 'TimeBasedAfter' WHEN 4 THEN 'EventBased' WHEN 6 THEN 'ContextBased' END AS kind, CASE WHEN event_id % 7 = 1 THEN TIMESTAMP '2024-01-05 06:00:00' END AS due, CASE WHEN event_id % 7 = 3 THEN event_id END AS after_s, CASE WHEN event_id % 7 = 4 THEN event_type END AS event, CASE WHEN event_id % 7 = 6 THEN event_type || '+here' END AS contexts FROM events")
 def _(spark, d):
-    """Two of the six kinds of text do not parse: a bad date and an unknown type."""
+    """Two of the seven kinds of text do not parse: a bad date and an unknown type."""
     i, none = F.col("event_id"), F.lit(None)
-    kinds = ("immediate", "time_based_at", "time_based_at", "time_based_after", "event_based", "unknown")
-    kind = F.element_at(F.array(*(F.lit(k) for k in kinds)), (i % 6 + 1).cast("int"))
-    date = F.when(i % 6 == 1, "2024-01-05T06:00:00Z").when(i % 6 == 2, "soon")
-    text = F.to_json(F.struct(kind.alias("type"), date.alias("datetime"), F.when(i % 6 == 3, i).otherwise(none).alias("duration_seconds"), F.when(i % 6 == 4, F.col("event_type")).alias("event")))
+    kinds = ("immediate", "time_based_at", "time_based_at", "time_based_after", "event_based", "unknown", "context_based")
+    kind = F.element_at(F.array(*(F.lit(k) for k in kinds)), (i % 7 + 1).cast("int"))
+    date = F.when(i % 7 == 1, "2024-01-05T06:00:00Z").when(i % 7 == 2, "soon")
+    contexts = F.when(i % 7 == 6, F.array("event_type", F.lit("here")))
+    text = F.to_json(F.struct(kind.alias("type"), date.alias("datetime"), F.when(i % 7 == 3, i).otherwise(none).alias("duration_seconds"), F.when(i % 7 == 4, F.col("event_type")).alias("event"), contexts.alias("contexts")))
     t = spark.read.parquet(f"{d}/events.parquet").select(i.alias("id"), store.parse_trigger(text).alias("t"))
-    return t.select("id", "t.kind", F.col("t.at").alias("due"), "t.after_s", "t.event")
+    return t.select("id", "t.kind", F.col("t.at").alias("due"), "t.after_s", "t.event", F.when(F.col("t.contexts").isNotNull(), F.array_join("t.contexts", "+")).alias("contexts"))
 
 
 @plan("em_pad", "WITH v AS (SELECT event_id AS id, greatest(-1, least(1, value / 250 - 1.2::DOUBLE)) AS p, greatest(-1, least(1, (event_id % 9) / 3.0::DOUBLE - 1.3::DOUBLE)) AS a FROM events) SELECT id, round(p, 6) AS pleasure, round(a, 6) AS arousal, round(sqrt(p * p + a * a + 0.25), 6) AS intensity, round(sqrt((p - 0.5) * (p - 0.5) + a * a + 0.0625), 6) AS distance FROM v")

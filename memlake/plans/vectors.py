@@ -228,10 +228,16 @@ def _(spark, d):
     return p.select(F.col("p_partkey").alias("id"), hdc.scalar_level(x, 900.0, 1800.0, 100).alias("level"), F.aggregate(hdc.encode_scalar(x, 900.0, 1800.0, 100, DIM), F.lit(0).cast("long"), lambda s, w: s + w).alias("mark"))
 
 
-@plan("hv_interpolated", f"SELECT p_partkey AS id, CAST(floor(({_LEVEL} - 900) / 900 * 99) AS INT) AS low, CAST(ceil(({_LEVEL} - 900) / 900 * 99) AS INT) AS high FROM part")
+def _level_words(how):
+    return _vec("""('level' || CAST(""" + how + """((""" + _LEVEL + """ - 900) / 900 * 99) AS INT))""")
+
+
+@plan("hv_interpolated", f"SELECT p_partkey AS id, CAST(floor(({_LEVEL} - 900) / 900 * 99) AS INT) AS low, CAST(ceil(({_LEVEL} - 900) / 900 * 99) AS INT) AS high, CAST(list_sum(list_transform(list_zip({_level_words('floor')}, {_level_words('ceil')}), lambda p: p[1] & p[2])) AS BIGINT) AS mark FROM part")
 def _(spark, d):
-    low, high = hdc.scalar_levels(F.col("p_retailprice"), 900.0, 1800.0, 100)
-    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), low.alias("low"), high.alias("high"))
+    x = F.col("p_retailprice")
+    low, high = hdc.scalar_levels(x, 900.0, 1800.0, 100)
+    mark = F.aggregate(hdc.encode_interpolated(x, 900.0, 1800.0, 100, DIM), F.lit(0).cast("long"), lambda s, w: s + w)
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), low.alias("low"), high.alias("high"), mark.alias("mark"))
 
 
 @plan("hv_bytes", f"SELECT p_partkey AS id, list_sum({_vec('p_brand')})::BIGINT AS mark, 32 AS n_bytes FROM part")

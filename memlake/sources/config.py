@@ -1,4 +1,8 @@
-"""Manager settings with their defaults; every one of them is honoured by the engine."""
+"""Manager settings with their defaults.
+
+``cache_size`` is accepted and has no effect, since tables are cached by Spark, not by the engine. The intervals and
+background flags hold for ``Engine.maintain``, the others for the requests that they name.
+"""
 
 from __future__ import annotations
 

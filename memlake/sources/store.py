@@ -126,6 +126,25 @@ class MemoryStore:
         return fresh
 
 
+class EventLog:
+    """What was done, append-only: ``op, id, n, ts, seq``."""
+
+    SCHEMA = "op string, id string, n bigint, ts timestamp, seq bigint"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def initialize(self) -> None:
+        self.spark.createDataFrame([], self.SCHEMA).write.mode("ignore").parquet(self.path)
+
+    def append(self, op: str, ids: DataFrame, ts: Column, seq: int, n: int | None = None) -> None:
+        """One event for each row of ``ids`` (``id``)."""
+        ids.select(F.lit(op).alias("op"), F.col("id").cast("string").alias("id"), F.lit(n).cast("long").alias("n"), ts.alias("ts"), F.lit(seq).cast("long").alias("seq")).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
 def columnar(memories: DataFrame, as_of: Column) -> DataFrame:
     """The 14 storage columns, with strength as of the write and metadata as JSON."""
     m = F.col

@@ -73,12 +73,22 @@ def test_engine(spark, tmp_path):
     src = F.struct(F.lit("u").alias("source_id"), F.lit("DirectUserInput").alias("source_type"), F.lit(0.9).alias("confidence"), F.lit(T0).alias("timestamp"))
     now, later = F.lit(T0), F.lit(T0 + dt.timedelta(days=3))
     e = Engine(MemoryStore(spark, str(tmp_path / "m")), Config().with_forgetting_threshold(1.5).with_(forgetting_threshold=0.1), dim=512)
-    e.store.initialize()
+    e.initialize()
     e.add(new_text(spark.createDataFrame([("1", "the quick brown fox"), ("2", "cooking recipes"), ("3", None)], "id string, text string").withColumn("source", src), now), now)
     trigger = parse_trigger(F.lit('{"type":"immediate"}'))
     e.add(new_intention(spark.createDataFrame([("4", "call", 1.5)], "id string, goal string, priority double").withColumn("source", src).withColumn("trigger", trigger), now), now)
     assert [r.id for r in e.search("the quick brown fox", 1, later).collect()] == ["1"]
     assert [r.id for r in e.triggerable_intentions(later).collect()] == ["4"] and e.active_intentions().first().priority == 1.0
+    before, n = e.get("1").first(), e.store.list_ids().count()
+    e.get("1", later)
+    e.search("the quick brown fox", 1, later, ts=later)
+    after = e.get("1").first()
+    assert n == 4 and after.access_count == before.access_count + 2 and after.stability > before.stability and after.last_recall == T0 + dt.timedelta(days=3)
+    assert e.get("2").first().access_count == 0
+    assert (e.stats().first().total_memories, e.stats().first().total_searches, e.stats().first().recalls) == (4, 1, 2)
+    assert {r.id for r in e.candidates("retention", later, 0.0).collect()} == {"1", "2", "3", "4"}
+    with pytest.raises(InvalidOperation):
+        e.candidates("guess", later, 0.0)
     e.complete("4", later)
     assert e.active_intentions().count() == 0
     with pytest.raises(InvalidOperation):
@@ -88,7 +98,7 @@ def test_engine(spark, tmp_path):
     e.delete(spark.createDataFrame([("2",)], "id string"), later)
     with pytest.raises(NotFound):
         e.get("2")
-    assert e.forget(later, later) == 3 and e.store.list_ids().count() == 0
+    assert e.forget(later, later) == 2 and [r.id for r in e.store.list_ids().collect()] == ["1"] and e.stats().first().total_forgotten == 2
 
 
 def test_record_logs(spark):

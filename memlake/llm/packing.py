@@ -94,11 +94,14 @@ class WordEncoder:
                 setattr(self, name, np.insert(getattr(self, name), where, value[order]))
             self.long |= {int(s): word(t) for s, t in zip(slots, first[new].tolist(), strict=True) if ends[t] - starts[t] > SHORT}
             i, _ = self._known(uniq)
-        of = i[codes]
-        slot = self.slot[of]
-        odd = (self.lo[of] != lo) | (self.hi[of] != hi)
+        lo1, hi1 = lo[first], hi[first]
+        other = (self.lo[i] != lo1) | (self.hi[i] != hi1)
+        for u in np.flatnonzero(~other & (ends[first] - starts[first] > SHORT)).tolist():
+            other[u] = self.long[int(self.slot[i[u]])] != word(first[u])
+        slot = self.slot[i][codes]
+        odd = (lo1[codes] != lo) | (hi1[codes] != hi) | other[codes]
         for t in np.flatnonzero(~odd & (ends - starts > SHORT)).tolist():
-            odd[t] = self.long[int(slot[t])] != word(t)
+            odd[t] = word(t) != word(first[codes[t]])
         for t in np.flatnonzero(odd).tolist():  # another word of the same hash
             if word(t) not in self.odd:
                 self.odd[word(t)] = int(self._learn([word(t)])[0])
@@ -249,4 +252,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` in sequences of 4096 tokens, by ``pack_documents``; the tokenizer's path is a parameter there."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

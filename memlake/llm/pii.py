@@ -4,8 +4,9 @@ Spans of the exact base patterns are always reported. Looser candidates (spelled
 without country code, card groups inside longer runs, IPv6) are voted on, together with the base
 spans, by labelers: a format labeler, gazetteers of domains, issuers and reserved networks, the words before the
 span, and the characters next to it. Expectation-maximisation over the counts of the vote patterns
-(at most 4 kinds times 3 to the number of labelers, whatever the corpus) estimates each labeler's reliability, and a
-logistic classifier trained on the resulting posteriors decides which candidates are added.
+(at most 4 kinds times 3 to the number of labelers, whatever the corpus) estimates each labeler's reliability. The
+resulting posteriors label the spans on which a logistic classifier is trained; it sees the span itself (how many digits, what
+parts them), the characters on either side and the votes, and decides which candidates are added.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ GAZETTEER = {  # what known values look like: top domains, issuer prefixes, rout
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5)|3[068]|35)",
     "phone": r"^(?:\+|\(?[2-9][0-9]{2})",
 }
+SPAN = "array<struct<s:int,kind:int,e:int,base:boolean,votes:string,shape:string>>"
 LABELERS = 4
 THRESHOLD = 0.9
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -96,16 +98,26 @@ def _votes(kind: str, text: Column, x: Column) -> Column:
     return F.concat(form, known, context, _sign(~F.coalesce(beside, F.lit(False)), F.lit(True)))
 
 
+def _shape(text: Column, x: Column) -> Column:
+    """Four characters: how many digits, what parts them, and what stands before and after."""
+    n = F.length(_digits(x["m"]))
+    size = F.when(n == 0, "0").when(n < 10, "1").when(n < 13, "2").when(n < 16, "3").otherwise("4")
+    parts = F.when(x["m"].contains("("), "(").when(x["m"].contains("-"), "-").when(x["m"].contains(" "), "s").when(x["m"].contains("."), ".").otherwise("0")
+    side = lambda c: F.when(c.rlike(r"^\s"), "s").when(c.rlike(r"^[\p{L}0-9]"), "a").when(c != "", "p").otherwise("0")
+    before = F.when(x["s"] > 0, F.substring(text, F.greatest(x["s"], F.lit(1)), F.lit(1))).otherwise("")
+    return F.concat(size, parts, side(before), side(F.substring(text, x["e"] + 1, F.lit(1))))
+
+
 def _only_valid(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda x: _valid(kind, x["m"]))
 
 
 def _voted(k: int, text: Column, spans: Column, base: bool) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("kind"), x["e"].alias("e"), F.lit(base).alias("base"), _votes(KINDS[k], text, x).alias("votes")))
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("kind"), x["e"].alias("e"), F.lit(base).alias("base"), _votes(KINDS[k], text, x).alias("votes"), _shape(text, x).alias("shape")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, spans``: all base spans and loose candidates as ``kind, s, e, base, votes``."""
+    """``doc_id, text, spans``: all base spans and loose candidates as ``kind, s, e, base, votes, shape``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.withColumn("text", text)
     t = F.col("text")
@@ -118,7 +130,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         columns += [_voted(k, t, F.col(f"_b{k}"), True), _voted(k, t, F.col(f"_l{k}"), False)]
     df = df.withColumn("_all", F.when(F.size("_b0") + F.size("_b1") + F.size("_b2") + F.size("_b3") + F.size("_l0") + F.size("_l1") + F.size("_l2") + F.size("_l3") > 0, F.sort_array(F.concat(*columns))))
     free = F.filter("_all", lambda x: x["base"] | ~F.exists("_all", lambda y: y["base"] & (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return df.withColumn("spans", F.coalesce(free, F.array().cast("array<struct<s:int,kind:int,e:int,base:boolean,votes:string>>"))).drop("_all", *(f"_{c}{k}" for c in "bl" for k in range(4)))
+    return df.withColumn("spans", F.coalesce(free, F.array().cast(SPAN))).drop("_all", *(f"_{c}{k}" for c in "bl" for k in range(4)))
 
 
 def reliabilities(patterns: dict[tuple[int, str], float], rounds: int = 50) -> dict[tuple[int, str], float]:
@@ -146,16 +158,16 @@ def reliabilities(patterns: dict[tuple[int, str], float], rounds: int = 50) -> d
     return out
 
 
-def classifier(patterns: dict[tuple[int, str], float], posterior: dict[tuple[int, str], float], steps: int = 400, rate: float = 0.5) -> dict[tuple[int, str], float]:
-    """Probabilities of a logistic classifier on the votes of each kind, trained on the posteriors."""
+def classifier(patterns: dict[tuple[int, str, str], float], posterior: dict[tuple[int, str], float], steps: int = 300, rate: float = 0.5) -> dict[tuple[int, str, str], float]:
+    """Probabilities, by kind, votes and shape, of a logistic classifier on both, trained on the posteriors of the votes."""
     weight: dict[tuple, float] = {}
-    keys = {p: [("bias", p[0]), *((p[0], i, c) for i, c in enumerate(p[1]))] for p in patterns}
+    keys = {p: [("bias", p[0]), *((p[0], "vote", i, c) for i, c in enumerate(p[1])), *((p[0], "shape", i, c) for i, c in enumerate(p[2]))] for p in patterns}
     probability = lambda p: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weight.get(f, 0.0) for f in keys[p])))))
     by_kind = {k: sum(n for p, n in patterns.items() if p[0] == k) or 1.0 for k in range(len(KINDS))}
     for _ in range(steps):
         grad: dict[tuple, float] = {}
         for p, n in patterns.items():
-            g = n / by_kind[p[0]] * (posterior[p] - probability(p))
+            g = n / by_kind[p[0]] * (posterior[p[:2]] - probability(p))
             for f in keys[p]:
                 grad[f] = grad.get(f, 0.0) + g
         for f, g in grad.items():
@@ -170,10 +182,12 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     All columns of ``docs`` stay (one named ``spans`` is replaced).
     """
     got = staged(candidates(docs), "candidates")
-    rows = got.where(F.size("spans") > 0).select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes").agg(F.count("*").alias("n")).collect()
-    patterns = {(r.kind, r.votes): float(r.n) for r in rows}
-    accepted = sorted(f"{k}{v}" for (k, v), p in classifier(patterns, reliabilities(patterns)).items() if p >= threshold)
-    yes = lambda x: x["base"] | F.concat(x["kind"].cast("string"), x["votes"]).isin(accepted) if accepted else x["base"]
+    rows = got.where(F.size("spans") > 0).select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes", "x.shape").agg(F.count("*").alias("n")).collect()  # 4 kinds, 81 votes, 400 shapes
+    patterns, votes = {(r.kind, r.votes, r.shape): float(r.n) for r in rows}, {}
+    for (k, v, _), n in patterns.items():
+        votes[k, v] = votes.get((k, v), 0.0) + n
+    accepted = sorted(f"{k}{v}{w}" for (k, v, w), p in classifier(patterns, reliabilities(votes)).items() if p >= threshold)
+    yes = lambda x: x["base"] | F.concat(x["kind"].cast("string"), x["votes"], x["shape"]).isin(accepted) if accepted else x["base"]
     return got.withColumn("spans", F.filter("spans", yes))
 
 
@@ -196,6 +210,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hashes of the base spans and all spans found in every whole text of ``documents``, by ``find``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = find(docs).withColumn("own", F.filter("spans", lambda x: x["base"]))
     count = lambda k: F.size(F.filter("own", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")

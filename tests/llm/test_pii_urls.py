@@ -56,8 +56,10 @@ def test_aggregation_learns_reliable_labelers():
     patterns = {(3, "++++"): 500.0, (3, "++0+"): 300.0, (3, "-0--"): 400.0, (3, "-+--"): 200.0}
     post = pii.reliabilities(patterns)
     assert post[(3, "++0+")] > 0.9 > 0.1 > post[(3, "-+--")]
-    p = pii.classifier(patterns, post)
-    assert p[(3, "++++")] > 0.9 and p[(3, "-0--")] < 0.1
+    shaped = {(k, v, "2-ss" if v[0] == "+" else "4-aa"): n for (k, v), n in patterns.items()} | {(3, "+0++", "2-ss"): 9.0, (3, "+0++", "4-aa"): 9.0}
+    p = pii.classifier(shaped, post | {(3, "+0++"): 0.8})
+    assert p[(3, "++++", "2-ss")] > 0.9 and p[(3, "-0--", "4-aa")] < 0.1
+    assert p[(3, "+0++", "2-ss")] > p[(3, "+0++", "4-aa")] + 0.05  # the span itself counts, not the votes alone
 
 
 def brute_rule(url):

@@ -218,4 +218,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``, by ``extract``."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -143,4 +143,5 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every row of ``documents``, by ``mix``; null texts have size 0, repeated rows are taken each."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -122,4 +122,5 @@ def simhash_groups(docs: DataFrame, width: int = 3, segment_bits: int = 4, dense
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every row of ``documents``, by ``simhash_groups``."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

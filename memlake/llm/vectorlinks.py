@@ -363,4 +363,5 @@ def recall(vectors: DataFrame, cosine: float = COSINE) -> float:
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every row of ``embeddings``, by ``vector_groups``."""
     return vector_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

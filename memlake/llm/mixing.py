@@ -40,16 +40,19 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int =
     order = np.random.default_rng(seed).permutation(len(size)).tolist()
     steps = sum(m.bit_length() for m in most)
     span = min(DP_SUMS, max(DP_WORK // steps, 1 << 17))
-    for i in sorted(order, key=lambda i: -size[i]):
-        if left <= span:
-            break
-        more = min(most[i] - got[i], left // size[i])
-        got[i], left = got[i] + more, left - more * size[i]
-    spare = [s for s, k, m in zip(size, got, most, strict=True) if k < m]
-    tried = list(got)
-    if left <= span and _fill(size, tried, most, left, order) == 0:
-        got = tried
-    elif spare:
+    start, rest = got, left
+    for room in (1 << 14, span):  # the small range fills most budgets to the last word, in little time
+        got, left = list(start), rest
+        for i in sorted(order, key=lambda i: -size[i]):
+            if left <= room:
+                break
+            more = min(most[i] - got[i], left // size[i])
+            got[i], left = got[i] + more, left - more * size[i]
+        tried = list(got)
+        if left <= room and _fill(size, tried, most, left, order) == 0:
+            take[some] = tried
+            return take
+    if spare := [s for s, k, m in zip(size, got, most, strict=True) if k < m]:
         span = max(span, min(2 * min(spare), DP_SUMS))
         for i in order:
             back = min(got[i], max(span - left, 0) // size[i])

@@ -24,6 +24,7 @@ from .shared import staged
 BITS = 16
 SAMPLE = 300
 CHUNK_CHARS = 400_000
+FLAGS = 256  # texts whose features are flagged in a table, of 64 KB each
 SCALE = 40.0
 UNKNOWN = "und"
 
@@ -86,7 +87,12 @@ def _documents(folds: int, fold: int):
             train = ~held_out(ids, folds, fold)
             texts = [t for t, ok, g in zip(texts, train, langs, strict=True) if ok and g is not None and t]
             for lo, hi, ids_, rows, _ in features(texts):
-                df += np.bincount(np.unique((rows << BITS) | ids_) & ((1 << BITS) - 1), minlength=1 << BITS)
+                if hi - lo <= FLAGS:
+                    has = np.zeros((hi - lo) << BITS, bool)
+                    has[(rows << BITS) | ids_] = True
+                    df += has.reshape(hi - lo, -1).sum(0)
+                else:  # very many short texts: the same in memory of the features' number
+                    df += np.bincount(np.unique((rows << BITS) | ids_) & ((1 << BITS) - 1), minlength=1 << BITS)
                 n += hi - lo
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(df[k], n))], ["k", "n"])

@@ -1,7 +1,7 @@
 """Manager settings with their defaults.
 
-``cache_size`` is accepted and has no effect, since tables are cached by Spark, not by the engine. The intervals and
-background flags hold for ``Engine.maintain``, the others for the requests that they name.
+``cache_size`` and ``enable_conflict_detection`` are accepted and have no effect: tables are cached by Spark, and conflicts are
+resolved by the operators, not on ingest. The intervals and background flags hold for ``Engine.maintain``, the others for requests.
 """
 
 from __future__ import annotations

@@ -174,29 +174,15 @@ def _noisy(parts):
     return q.withColumn("hv", F.transform("v", lambda w, k: F.when(k == F.col("id") % 8, w.bitwiseXOR(65535)).otherwise(w)))
 
 
-@plan("hv_cleanup", f"WITH c AS (SELECT DISTINCT p_type AS symbol, {_vec('p_type')} AS code FROM part), q AS (SELECT p_partkey AS id, list_transform(range(1, 9), lambda k: xor(({_vec('p_type')})[k], CASE WHEN k = 1 + p_partkey % 8 THEN 65535 ELSE 0 END)) AS hv FROM part WHERE p_partkey % 40 = 0) SELECT id, arg_min(symbol, ROW({_ham('hv', 'code')}, symbol)) AS symbol, round(max(1 - {_ham('hv', 'code')} / 256.0::DOUBLE), 6) AS sim FROM q, c GROUP BY id")
+@plan("hv_cleanup", f"WITH c AS (SELECT DISTINCT p_type AS symbol, {_vec('p_type')} AS code FROM part), q AS (SELECT p_partkey AS id, list_transform(range(1, 9), lambda k: xor(({_vec('p_type')})[k], CASE WHEN k = 1 + p_partkey % 8 THEN 65535 ELSE 0 END)) AS hv FROM part) SELECT id, arg_min(symbol, ROW({_ham('hv', 'code')}, symbol)) AS symbol, round(max(1 - {_ham('hv', 'code')} / 256.0::DOUBLE), 6) AS sim FROM q, c GROUP BY id")
 def _(spark, d):
-    """Each part type with 16 bits flipped, cleaned up against the codebook of types; the parts asked for are a stated set."""
-    q = _noisy(spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 40 = 0"))
-    return hdc.cleanup(q, "id", "hv", _codes(spark, d), "symbol", "code", DIM).withColumn("sim", F.round("sim", 6))
-
-
-@plan("hv_resonate", PLANS["hv_cleanup"][1].replace("AS sim FROM q, c", f"AS sim, CAST(CASE WHEN max(1 - {_ham('hv', 'code')} / 256.0::DOUBLE) >= 0.95 THEN 1 ELSE 2 END AS INT) AS iterations FROM q, c"))
-def _(spark, d):
-    q = _noisy(spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 40 = 0"))
-    return hdc.resonate(q, "id", "hv", _codes(spark, d), "symbol", "code", DIM).withColumn("sim", F.round("sim", 6))
-
-
-@plan("hv_cleanup_all", PLANS["hv_cleanup"][1].replace(" WHERE p_partkey % 40 = 0", ""))
-def _(spark, d):
-    """As hv_cleanup, for every part."""
+    """Each part's type with 16 bits flipped, cleaned up against the codebook of types."""
     q = _noisy(spark.read.parquet(f"{d}/part.parquet"))
     return hdc.cleanup(q, "id", "hv", _codes(spark, d), "symbol", "code", DIM).withColumn("sim", F.round("sim", 6))
 
 
-@plan("hv_resonate_all", PLANS["hv_resonate"][1].replace(" WHERE p_partkey % 40 = 0", ""))
+@plan("hv_resonate", PLANS["hv_cleanup"][1].replace("AS sim FROM q, c", f"AS sim, CAST(CASE WHEN max(1 - {_ham('hv', 'code')} / 256.0::DOUBLE) >= 0.95 THEN 1 ELSE 2 END AS INT) AS iterations FROM q, c"))
 def _(spark, d):
-    """As hv_resonate, for every part."""
     q = _noisy(spark.read.parquet(f"{d}/part.parquet"))
     return hdc.resonate(q, "id", "hv", _codes(spark, d), "symbol", "code", DIM).withColumn("sim", F.round("sim", 6))
 

@@ -7,7 +7,7 @@ from memlake.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["hv_cleanup_all", "hv_resonate_all"])
+@pytest.mark.parametrize("name", ["hv_cleanup", "hv_resonate"])
 def test_every_part_is_cleaned_up(spark, name):
     kinds = {r.p_partkey: r.p_type for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
     got = registry.QUERIES[name](spark, SF).collect()

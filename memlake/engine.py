@@ -57,6 +57,10 @@ class Engine:
         self.store.store(memories, ts, self._next())
         self.log.append("add", memories, ts, self._next())
 
+    def add_intention(self, rows: DataFrame, ts: Column) -> None:
+        """Ingest intentions ``id, goal, trigger, priority, source``."""
+        self.add(new_intention(rows, ts), ts)
+
     def get(self, id_: str, ts: Column | None = None) -> DataFrame:
         found = self.state().where(F.col("id") == id_)
         if found.isEmpty():
@@ -86,10 +90,12 @@ class Engine:
         self.log.append("consolidate", ids.select("id").distinct(), ts, self._next())
 
     def candidates(self, strategy: str, as_of: Column, threshold: float) -> DataFrame:
-        """``id, score, reason`` of the memories that a strategy (access, retention, temporal) would consolidate."""
+        """``id, score, reason`` of the memories that a strategy (access, retention, temporal, cluster) would consolidate; clusters name none."""
         m = self.state()
-        if strategy not in ("access", "retention", "temporal"):
+        if strategy not in ("access", "retention", "temporal", "cluster"):
             raise InvalidOperation(f"{strategy} is no strategy")
+        if strategy == "cluster":
+            return self.store.spark.createDataFrame([], "id string, score double, reason string")
         found = memory.by_access(m, threshold) if strategy == "access" else memory.by_retention(m, as_of, threshold) if strategy == "retention" else memory.by_age(m, as_of, threshold)
         return found.select("id", "score", "reason")
 

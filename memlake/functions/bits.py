@@ -105,3 +105,9 @@ def unpack_bytes(b: Column, dim: int) -> Column:
     h = F.rpad(F.hex(b), 2 * n * (WORD_BITS // 8), "0")
     words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.conv(F.concat(*(F.substring(h, k * 8 + 1 + 2 * j, F.lit(2)) for j in range(3, -1, -1))), 16, 10).cast("long"))
     return F.transform(words, lambda w, i: F.when(i == n - 1, w.bitwiseAND((1 << rest) - 1)).otherwise(w)) if rest else words
+
+
+def display(v: Column, dim: int) -> Column:
+    """How a vector is shown: its width and its share of ones, cut to whole percent."""
+    share = (count_ones(v) / dim).cast("float") * F.lit(100).cast("float")
+    return F.format_string(f"HyperVector[{dim}D, %d%% ones]", share.cast("int"))

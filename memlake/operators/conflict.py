@@ -185,3 +185,19 @@ def consensus_trust(values: DataFrame, keys: list[str], value: str) -> DataFrame
     """Trust-weighted trust: cubes over squares; one half where squares sum up to 0."""
     t = F.col(value)
     return values.groupBy(*keys).agg(F.coalesce(F.sum(t * t * t) / F.nullif(F.sum(t * t), F.lit(0.0)), F.lit(0.5)).alias("trust"))
+
+
+def set_trust(trust: DataFrame, given: DataFrame) -> DataFrame:
+    """``source_id, value``: trust with what is ``given`` (one row a source) put in its place, within 0 and 1."""
+    clamped = given.select("source_id", scalar.clamp(F.col("value"), 0.0, 1.0).alias("value"))
+    return trust.select("source_id", "value").join(given.select("source_id"), "source_id", "left_anti").unionByName(clamped)
+
+
+def reset_trust(folded: DataFrame, sources: DataFrame) -> DataFrame:
+    """Folded trust without the scores and histories of ``sources`` (``source_id``)."""
+    return folded.join(sources.select("source_id"), "source_id", "left_anti")
+
+
+def performance(folded: DataFrame, source_id: str) -> DataFrame:
+    """What is known of one source; no row where nothing is."""
+    return folded.where(F.col("source_id") == source_id).select("source_id", "successes", "failures", "conflicts", "avg_confidence")

@@ -52,3 +52,12 @@ def lww(ops: DataFrame, keys: list[str]) -> DataFrame:
     t = lambda op: F.max(F.when(F.col("op") == op, F.col("ts"))).alias(op)
     g = ops.groupBy(*keys).agg(t("add"), t("remove"))
     return g.where(F.col("add").isNotNull() & (F.col("remove").isNull() | (F.col("add") > F.col("remove"))))
+
+
+def new_facts(rows: DataFrame, node: str, created_at: Column) -> DataFrame:
+    """First versions of facts from ``id, subject, predicate, object, confidence, sources``, made by ``node``: clock and Lamport time 1."""
+    null = F.lit(None).cast("string")
+    return rows.select(
+        "id", "subject", "predicate", "object", F.create_map(F.lit(node), F.lit(1).cast("long")).alias("vector_clock"), F.lit(1).cast("long").alias("lamport"), "confidence", "sources",
+        null.alias("supersedes"), created_at.alias("created_at"), F.lit(node).alias("created_by"), F.lit(False).alias("is_derived"), F.array().cast("array<string>").alias("tags"),
+    )

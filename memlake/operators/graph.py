@@ -51,3 +51,8 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
 def latest_nodes(log: DataFrame) -> DataFrame:
     """The last version (``ts, seq``) of each node of an append-only log."""
     return log.groupBy("id").agg(F.max_by(F.struct("labels", "properties"), F.struct("ts", "seq")).alias("_v")).select("id", "_v.*")
+
+
+def query(nodes: DataFrame, edges: DataFrame, text: str, **params) -> DataFrame:
+    """SQL over ``{nodes}`` and ``{edges}``, with named parameters (``:name``)."""
+    return nodes.sparkSession.sql(text, args=params, nodes=nodes, edges=edges)

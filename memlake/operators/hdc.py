@@ -108,6 +108,14 @@ def similarity_pairs(vectors: DataFrame, key: str, hv: str, dim: int) -> DataFra
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", bits.similarity(F.col("_i"), F.col("_j"), dim).alias("sim"))
 
 
+def similarity_matrix(vectors: DataFrame, key: str, hv: str, dim: int) -> DataFrame:
+    """``i, j, sim`` for all ordered pairs of a small, stated set of vectors, each with itself too; a pair is compared once."""
+    half = similarity_pairs(vectors, key, hv, dim)
+    sides = F.explode(F.array(F.struct("i", "j", "sim"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "sim")))
+    same = vectors.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(1.0).alias("sim"))
+    return half.select(sides.alias("_p")).select("_p.*").unionByName(same)
+
+
 def bind_all(vectors: DataFrame, keys: list[str], hv: str) -> DataFrame:
     """XOR of all vectors of each key as ``keys, hv``; the words are combined before the shuffle."""
     words = vectors.select(*keys, F.posexplode(hv).alias("_i", "_w")).groupBy(*keys, "_i").agg(F.bit_xor("_w").alias("_w"))

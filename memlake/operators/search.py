@@ -55,6 +55,34 @@ def hybrid(a: DataFrame, b: DataFrame, alpha: float, k: int, id_: str = "id") ->
     return both.select(id_, (alpha * F.coalesce("_a", F.lit(0.0)) + (1 - alpha) * F.coalesce("_b", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), id_).limit(k)
 
 
+def constrained(
+    memories: DataFrame, as_of: Column, min_confidence: float | None = None, min_retention: float | None = None, include_consolidated: bool = True,
+    sources: list[str] | None = None, since: Column | None = None, until: Column | None = None,
+) -> DataFrame:
+    """Memories that meet all constraints, with their ``strength``; both times are inclusive, and what is null meets none of those on it."""
+    m = memories.withColumn("strength", scalar.retention(F.col("base_retention"), F.col("last_recall"), F.col("stability"), as_of))
+    if min_confidence is not None:
+        m = m.where(F.col("source.confidence") >= min_confidence)
+    if min_retention is not None:
+        m = m.where(F.col("strength") >= min_retention)
+    if not include_consolidated:
+        m = m.where(~F.col("is_consolidated"))
+    if sources is not None:
+        m = m.where(F.col("source.source_type").isin(sources))
+    if since is not None:
+        m = m.where(F.col("created_at") >= since)
+    if until is not None:
+        m = m.where(F.col("created_at") <= until)
+    return m
+
+
+def hybrid_search(a: DataFrame, b: DataFrame, memories: DataFrame, alpha: float, k: int, id_: str = "id") -> DataFrame:
+    """The fused scores of two scored sets times retention, over ``memories`` (of ``constrained``) alone: the top ``k``, ties by id."""
+    both = a.select(id_, F.col("score").alias("_a")).join(b.select(id_, F.col("score").alias("_b")), id_, "full")
+    fused = alpha * F.coalesce("_a", F.lit(0.0)) + (1 - alpha) * F.coalesce("_b", F.lit(0.0))
+    return both.join(memories.select(id_, "strength"), id_).select(id_, (fused * F.col("strength")).alias("score")).orderBy(F.desc("score"), id_).limit(k)
+
+
 def bm25(texts: DataFrame, query: list[str], k: int, id_: str = "id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top ``k`` by BM25; only the query's terms are counted, so one pass reads the texts and one row a text is kept."""
     terms = sorted(set(query))

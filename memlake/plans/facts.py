@@ -288,3 +288,34 @@ def _(spark, d):
 def _(spark, d):
     cat = F.when(F.col("c_mktsegment") == "BUILDING", "User").when(F.col("c_mktsegment") == "MACHINERY", "System").when(F.col("c_mktsegment") == "HOUSEHOLD", "Derived").otherwise("External")
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), scalar.base_trust(cat).alias("trust"))
+
+
+@plan("cf_resolve", _RESOLVED + "SELECT id, kind AS conflict_type, strategy, round(conf, 6) AS confidence, CASE WHEN conf IS NOT NULL THEN review END AS needs_review FROM r")
+def _(spark, d):
+    """Every conflict with its strategy and what that decides; null where it is deferred to someone."""
+    r = resolved(spark, d)
+    return r.select("id", "conflict_type", "strategy", F.round("result.confidence", 6).alias("confidence"), F.col("result.needs_review").alias("needs_review"))
+
+
+@plan("cr_new_fact", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS subject, event_type AS predicate, 'web=1' AS clock, CAST(1 AS BIGINT) AS lamport, 'web' AS created_by, false AS is_derived, CAST(0 AS INT) AS n_tags, true AS fresh FROM events")
+def _(spark, d):
+    f = facts(spark, d).select("id", "subject", "predicate", "object", "confidence", F.col("f.sources").alias("sources"))
+    clock = F.array_join(F.transform(F.map_entries("vector_clock"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return crdt.new_facts(f, "web", F.expr("TIMESTAMP '2024-01-01'")).select("id", "subject", "predicate", clock.alias("clock"), "lamport", "created_by", "is_derived", F.size("tags").alias("n_tags"), F.col("supersedes").isNull().alias("fresh"))
+
+
+@plan("cf_set_trust", "SELECT 'u0' AS source_id, 1.0::DOUBLE AS value UNION ALL SELECT 'x', 0.0::DOUBLE UNION ALL SELECT 'u' || i, round(0.15::DOUBLE * (i + 1) + 0.1::DOUBLE, 6) FROM range(1, 4) t(i) UNION ALL SELECT 'e' || i, round(0.15::DOUBLE * (i + 1), 6) FROM range(2) t(i)")
+def _(spark, d):
+    given = spark.createDataFrame([("u0", 1.5), ("x", -0.2)], "source_id string, value double")
+    return conflict.set_trust(trust(spark), given).withColumn("value", F.round("value", 6))
+
+
+@plan("tr_reset", _FOLD + "SELECT source AS source_id, round(v, 6) AS value FROM z WHERE source <> 'src9'")
+def _(spark, d):
+    gone = spark.createDataFrame([("src9",)], "source_id string")
+    return conflict.reset_trust(conflict.fold_trust(feedback(spark, d)), gone).select("source_id", F.round("value", 6).alias("value"))
+
+
+@plan("tr_performance", _FOLD + "SELECT source AS source_id, ok AS successes, bad AS failures, con AS conflicts, round(avg, 6) AS avg_confidence FROM z WHERE source = 'src9'")
+def _(spark, d):
+    return conflict.performance(conflict.fold_trust(feedback(spark, d)), "src9").withColumn("avg_confidence", F.round("avg_confidence", 6))

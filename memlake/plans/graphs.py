@@ -87,3 +87,14 @@ def _(spark, d):
 def _(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     return c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.to_json(F.create_map(F.lit("segment"), "c_mktsegment")).alias("properties"))
+
+
+@plan("gr_get_node", "SELECT id, 'region' AS label FROM nodes WHERE id = 'r1'")
+def _(spark, d):
+    """One node with its label, by id."""
+    return tables(spark, d)[0].where("id = 'r1'").select("id", F.lit("region").alias("label"))
+
+
+@plan("gr_query", "SELECT e.relationship, count(*) AS n FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = 'n3' GROUP BY e.relationship")
+def _(spark, d):
+    return graph.query(*tables(spark, d), "SELECT e.relationship, count(*) AS n FROM {edges} e JOIN {nodes} n ON n.id = e.dst WHERE e.src = :src GROUP BY e.relationship", src="n3")

@@ -266,3 +266,33 @@ def _(spark, d):
     return search.similar_structures(encoded(spark, d), hdc.encode_text(QUERY, DIM), DIM, 0.51).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@plan("hv_matrix_full", _BENCH + f" SELECT a.id AS i, b.id AS j, round(1 - {_ham('a.hv', 'b.hv')} / 256.0::DOUBLE, 6) AS sim FROM hv a, hv b")
+def _(spark, d):
+    """All ordered pairs of the benchmark texts, each with itself too."""
+    return hdc.similarity_matrix(encoded(spark, d), "id", "hv", DIM).withColumn("sim", F.round("sim", 6))
+
+
+@plan("hv_display", _BENCH + f" SELECT id, 'HyperVector[256D, ' || CAST(trunc(CAST({_sum('hv')} / 256.0::DOUBLE AS FLOAT) * CAST(100 AS FLOAT)) AS INT) || '% ones]' AS shown FROM hv")
+def _(spark, d):
+    return encoded(spark, d).select("id", bits.display(F.col("hv"), DIM).alias("shown"))
+
+
+@plan("hv_query_map", _MAPS + f" SELECT p.id, CAST({_ham('p.asked', 'p.held')} AS INT) AS distance FROM (SELECT hv.id, list_transform(range(1, 9), lambda i: xor(hv.hv[i], ({_vec(chr(39) + 'type' + chr(39))})[i])) AS asked, {_vec('p_type')} AS held FROM hv JOIN part ON p_partkey = hv.id) p")
+def _(spark, d):
+    """What each part's map holds under its type's name, against the vector of the type."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), "p_type", F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string")).alias("m"))
+    asked = hdc.encode_maps(p, "id", "m", DIM).select("id", hdc.query_map(F.col("hv"), F.lit("type"), DIM).alias("asked"))
+    return asked.join(p, "id").select("id", bits.hamming(F.col("asked"), bits.random_vector(F.col("p_type"), DIM)).alias("distance"))
+
+
+_CONSTRAINED = "(SELECT id, st FROM r WHERE st >= 1e-9 AND created_at <= TIMESTAMP '2024-01-02 02:00:00' AND id % 10 >= 3)"
+
+
+@plan("ext_hybrid_constrained", _BENCH + _SCORED + f", k AS (SELECT id, count(*) / 10.0::DOUBLE AS score FROM tok WHERE token = 'the' GROUP BY id), h AS (SELECT id, 0.7::DOUBLE * coalesce(r.score, 0) + 0.3::DOUBLE * coalesce(k.score, 0) AS score FROM r FULL JOIN k USING (id)) SELECT id, round(log10(score * c.st), 6) AS log_score FROM h JOIN {_CONSTRAINED} c USING (id) ORDER BY score * c.st DESC, id LIMIT 15")
+def _(spark, d):
+    """Hybrid search times retention, over memories that are confident, retained and old enough."""
+    m = _aged(encoded(spark, d)).withColumn("source", F.struct((0.5 + (F.col("id") % 10) / 20).alias("confidence"), F.lit("User").alias("source_type"))).withColumn("is_consolidated", F.lit(False))
+    a = search.search_threshold(_aged(encoded(spark, d)), hdc.encode_text(QUERY, DIM), DIM, T(), 0.0)
+    b = bench(spark, d).select("id", F.size(F.filter(scalar.tokens(F.col("text")), lambda t: t == "the")).alias("n")).where("n > 0").select("id", (F.col("n") / 10.0).alias("score"))
+    allowed = search.constrained(m, T(), 0.64, 1e-9, False, ["User"], None, F.lit("2024-01-02 02:00:00").cast("timestamp"))
+    return search.hybrid_search(a, b, allowed, 0.7, 15).select("id", F.round(F.log10("score"), 6).alias("log_score"))

@@ -117,6 +117,12 @@ class MemoryStore:
     def list_ids(self) -> DataFrame:
         return self.state().select("id")
 
+    def is_empty(self) -> bool:
+        return self.state().isEmpty()
+
+    def __len__(self) -> int:
+        return self.state().count()
+
     def stats(self) -> DataFrame:
         return self.state().agg(F.count("*").alias("memories"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from memlake.engine import Engine, InvalidOperation, NotFound, new_intention, new_text, parse_trigger
 from memlake.functions import bits, scalar
-from memlake.operators import crdt, graph, hdc, memory, records
+from memlake.operators import conflict, crdt, graph, hdc, memory, records
 from memlake.sources.config import Config
+from memlake.sources.graph_store import GraphStore
 from memlake.sources.store import MemoryStore
 from memlake.streaming import fold
 
@@ -116,3 +117,38 @@ def test_bind_all_and_most_similar(spark):
     v = spark.createDataFrame([(1, "g", [5, 9]), (2, "g", [3, 1]), (3, "h", [7, 7]), (4, "e", None)], "id int, k string, hv array<bigint>")
     assert {r.k: r.hv for r in hdc.bind_all(v, ["k"], "hv").collect()} == {"g": [6, 8], "h": [7, 7]}
     assert [(r.id, r.distance) for r in hdc.most_similar(v.where("hv is not null"), [7, 7], 64, 2, "id", "hv").collect()] == [(3, 0), (2, 3)]
+
+
+def test_graph_store(spark, tmp_path):
+    g, t = GraphStore(spark, str(tmp_path / "g")), F.lit(T0)
+    g.initialize()
+    nodes = spark.createDataFrame([("a", ["Person"], {"name": "Alice"}), ("b", ["Person"], {}), ("c", [], None)], "id string, labels array<string>, properties map<string,string>")
+    g.create_nodes(nodes, t, 1)
+    edge = lambda *rows: spark.createDataFrame(rows, "src string, dst string, relationship string")
+    g.create_edges(edge(("a", "b", "KNOWS"), ("b", "c", "KNOWS"), ("a", "b", "KNOWS"), ("b", "b", "SELF")), t, 2)
+    with pytest.raises(NotFound):
+        g.create_edges(edge(("a", "c", "KNOWS"), ("a", "x", "KNOWS")), t, 3)
+    assert g.get_node("a").first().properties == {"name": "Alice"} and tuple(g.counts().first()) == (3, 4)
+    assert {(r.id, r.hops) for r in g.neighbors("a", 2).collect()} == {("b", 1), ("c", 2)}
+    assert g.query("SELECT count(*) AS n FROM {edges} e JOIN {nodes} n ON n.id = e.dst WHERE e.relationship = :r", r="KNOWS").first().n == 3
+    g.delete_node("b", t, 4)
+    assert tuple(g.counts().first()) == (2, 0)
+    g.create_nodes(nodes.where("id = 'b'"), t, 5)  # what comes after a deletion stays
+    g.create_edges(edge(("c", "b", "LIKES")), t, 6)
+    assert [r.src for r in g.edges().collect()] == ["c"] and g.nodes().count() == 3
+    with pytest.raises(NotFound):
+        g.get_node("q")
+
+
+def test_trust_tables(spark):
+    trust = spark.createDataFrame([("a", 0.4), ("b", 0.6)], "source_id string, value double")
+    given = spark.createDataFrame([("b", 7.0), ("c", -1.0)], "source_id string, value double")
+    assert {tuple(r) for r in conflict.set_trust(trust, given).collect()} == {("a", 0.4), ("b", 1.0), ("c", 0.0)}
+    assert [r.source_id for r in conflict.reset_trust(trust, given).collect()] == ["a"]
+
+
+def test_similarity_matrix_has_both_sides(spark):
+    v = spark.createDataFrame([(1, [0]), (2, [3])], "id int, hv array<bigint>")
+    assert {tuple(r) for r in hdc.similarity_matrix(v, "id", "hv", 32).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (1, 2, 0.9375), (2, 1, 0.9375)}
+    assert hdc.similarity_matrix(v.limit(0), "id", "hv", 32).count() == 0
+    assert v.select(bits.display(F.col("hv"), 32).alias("s")).collect()[1].s == "HyperVector[32D, 6% ones]"

@@ -25,6 +25,8 @@ from .shared import staged
 CAPACITY = 4096
 END_ID = 1
 PARTITION_PIECES = 4096
+#: New words go to the tokenizer so many at a time, with this character between them.
+GROUP_WORDS, MARK = 64, "\x01"
 
 
 class WordEncoder:
@@ -43,6 +45,8 @@ class WordEncoder:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         if ids("ab \n cd,e") != ids("ab") + ids("cd,e"):
             raise ValueError("this tokenizer does not encode words apart")
+        mark = ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 and ids(f"ab {MARK} cd") == [*ids("ab"), *mark, *ids("cd")] else None
         self.fold = LOWER if all(ids(chr(c)) == ids(chr(c + 32)) for c in range(65, 91)) else np.arange(256, dtype=np.uint8)
         self.clear()
 
@@ -51,20 +55,35 @@ class WordEncoder:
         self.lo, self.hi, self.long = np.zeros(0, np.uint64), np.zeros(0, np.uint64), {}
         self.at, self.flat, self.odd = np.zeros(1, np.int64), np.zeros(0, np.uint32), {}
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, texts: list[bytes]) -> np.ndarray:
-        """Slots of new words."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        slots = len(self.at) - 1 + np.arange(len(got))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))])
+        """Slots of new words. A group whose words hold the mark themselves is told by its count of marks, and encoded word by word."""
+        groups = [texts[k : k + GROUP_WORDS] for k in range(0, len(texts), GROUP_WORDS)]
+        flats, sizes, between = [self.flat], [], f" {MARK} ".encode()
+        joined = self._ids([between.join(g).decode("utf-8", "replace") for g in groups]) if self.mark is not None else [[]] * len(groups)
+        for group, ids in zip(groups, joined, strict=True):
+            flat = np.array(ids, np.uint32)
+            marks = flat == self.mark
+            at = np.flatnonzero(marks)
+            if self.mark is not None and len(at) == len(group) - 1:
+                flats.append(flat[~marks])
+                sizes.append(np.diff(at, prepend=-1, append=len(flat)) - 1)
+            else:
+                got = self._ids([t.decode("utf-8", "replace") for t in group])
+                flats.append(np.array([x for word in got for x in word], np.uint32))
+                sizes.append(np.array([len(word) for word in got], np.int64))
+        slots = len(self.at) - 1 + np.arange(len(texts))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate(flats)
         return slots
 
     def _known(self, mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.mix):
-            return np.zeros(len(mix), np.int64), np.zeros(len(mix), bool)
-        i = np.minimum(np.searchsorted(self.mix, mix), len(self.mix) - 1)
-        return i, self.mix[i] == mix
+        """Where each is or would be in the sorted table, and whether it is there."""
+        i, order = np.empty(len(mix), np.int64), np.argsort(mix)
+        i[order] = np.searchsorted(self.mix, mix[order])  # in order, neighbours share what they read of the table
+        return i, np.append(self.mix, np.uint64(0))[i] == mix if len(self.mix) else np.zeros(len(mix), bool)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk one after another, and ``len(offs)`` bounds.
@@ -89,11 +108,12 @@ class WordEncoder:
             new = np.flatnonzero(~hit)
             slots = self._learn([word(t) for t in first[new].tolist()])
             order = np.argsort(uniq[new])
-            where = np.searchsorted(self.mix, uniq[new][order])
+            where = i[new][order]
             for name, value in (("mix", uniq[new]), ("slot", slots), ("lo", lo[first[new]]), ("hi", hi[first[new]])):
                 setattr(self, name, np.insert(getattr(self, name), where, value[order]))
             self.long |= {int(s): word(t) for s, t in zip(slots, first[new].tolist(), strict=True) if ends[t] - starts[t] > SHORT}
-            i, _ = self._known(uniq)
+            i += np.searchsorted(where, i, "right")  # moved by the words put in before
+            i[new[order]] = where + np.arange(len(new))
         lo1, hi1 = lo[first], hi[first]
         other = (self.lo[i] != lo1) | (self.hi[i] != hi1)
         for u in np.flatnonzero(~other & (ends[first] - starts[first] > SHORT)).tolist():

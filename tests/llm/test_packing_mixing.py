@@ -33,6 +33,23 @@ def test_ids_are_the_tokenizers_own(spark):
     assert dict(got) == {i: reference(t) for i, t, _ in rows}
 
 
+def test_words_with_marks_and_odd_characters_keep_their_ids():
+    rnd, encoder = random.Random(5), packing.WordEncoder(tokenizer_path())
+    own = Tokenizer.from_file(tokenizer_path())
+    own.encode_special_tokens = True
+    alphabet = ["a", "B", "'s", "9", packing.MARK, "\u0301", "\u00a0", "\u3000", "\u03a3", "\u0130", "<|endoftext|>", "\U0001f600", "\u4e2d", "-", "\x1c"]
+    for marks in (False, True):
+        letters = [x for x in alphabet if marks or x != packing.MARK]
+        for _ in range(4):  # new words beside known ones
+            texts = [" ".join("".join(rnd.choices(letters, k=rnd.randint(1, 6))) for _ in range(rnd.randint(0, 300))) for _ in range(20)]
+            data = [t.encode() for t in texts]
+            offs = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+            flat, bounds = encoder.encode(np.frombuffer(b"".join(data), np.uint8), offs)
+            for i, t in enumerate(texts):
+                assert flat[bounds[i] : bounds[i + 1]].tolist() == own.encode(t, add_special_tokens=False).ids
+    assert (np.diff(encoder.mix.view(np.int64) ^ np.int64(-(2**63))) > 0).all()
+
+
 def test_words_of_like_hash_keep_their_own_ids(spark, monkeypatch):
     t, f = thue_morse(1024)
     rows = [(0, f"{t} {f} {t}"), (1, f), (2, " ".join(thue_morse(8192))), (3, "abcdefghijklmnop abcdefghijklmnoq abcdefghijklmno abcdefgh abcdefghi a"), *((i, " ".join(f"Wörd{i * j} {'x' * j}" for j in range(40))) for i in range(4, 20))]

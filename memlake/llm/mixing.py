@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 #: What the dynamic program works on: sums below the first (its memory), and about the second of them over all its steps.
 DP_SUMS, DP_WORK = 1 << 25, 1 << 32
+#: A length that so many documents of a source have is joined by broadcast; there is at most one a HOT_ROWS documents.
+HOT_ROWS = 1 << 20
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1, seed: int = 42) -> np.ndarray:
@@ -112,6 +114,19 @@ def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(whole=whole, k=extra)[["source", "size", "n", "source_size", "target", "whole", "k"]]
 
 
+def _by_length(rows: DataFrame, table: DataFrame, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (``s, z, n``) by source and size: the lengths of many documents by broadcast, so no task gets
+    all documents of one, the others as the planner likes. Rows that do not have their ``n`` are told apart by ``hot``."""
+    same = lambda t: F.col("source").eqNullSafe(t.s) & (F.col("size") == t.z)
+    often, seldom = table.where(F.col("n") >= HOT_ROWS), table.where(F.col("n") < HOT_ROWS)
+    if hot is not None:
+        many, few = rows, rows.join(F.broadcast(hot), same(hot), "left_anti")
+    else:
+        many, few = rows.where(F.col("n") >= HOT_ROWS), rows.where(F.col("n") < HOT_ROWS)
+        often, seldom = often.drop("n"), seldom.drop("n")
+    return many.join(F.broadcast(often), same(often), how).drop("s", "z").unionByName(few.join(seldom, same(seldom), how).drop("s", "z"))
+
+
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     """Per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -130,15 +145,14 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     h = F.xxhash64(F.lit(seed), "doc_id")
     # k copies over n documents: each gets k / n, and the first k mod n one more
     q = q.withColumn("whole", F.col("whole") + F.floor(F.col("k") / F.col("n"))).withColumn("k", F.col("k") % F.col("n"))
-    each = sizes.join(q, sizes.source.eqNullSafe(q.s) & (sizes["size"] == q.z)).drop("s", "z").withColumn("h", h)
+    each = _by_length(sizes, q, q.where(F.col("n") >= HOT_ROWS).select("s", "z")).withColumn("h", h)
     # the sign bit is put last so that ranges are of unsigned hashes
     each = each.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)")))
-    spans = each.where("k > 0").groupBy("source", "size", "range", "k").agg(F.count("*").alias("m"))
+    spans = each.where("k > 0").groupBy("source", "size", "range", "k", "n").agg(F.count("*").alias("m"))
     below = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = spans.withColumn("below", below).where((F.col("below") < F.col("k")) & (F.col("below") + F.col("m") >= F.col("k")))
-    edge = edge.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("range").alias("last"), (F.col("k") - F.col("below")).alias("need"))
-    each = each.join(edge, each.source.eqNullSafe(edge.s) & (each["size"] == edge.z), "left").drop("s", "z")
-    each = staged(each, "mixed")
+    edge = edge.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", F.col("range").alias("last"), (F.col("k") - F.col("below")).alias("need"))
+    each = staged(_by_length(each, edge, how="left"), "mixed")
     at_edge = each.where("range = last").withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "row"))).withColumn("extra", (F.col("rank") <= F.col("need")).cast("long")).drop("rank")
     rest = each.where("last is null or range <> last").withColumn("extra", F.coalesce(F.col("range") < F.col("last"), F.lit(False)).cast("long"))
     out = rest.unionByName(at_edge).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0))

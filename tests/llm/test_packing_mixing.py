@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from memlake.llm import packing
+from memlake.llm import mixing, packing
 from memlake.llm.bytetext import mixed, word_keys
 from memlake.llm.mixing import fit_budget, mix
 from memlake.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents, pieces, tokenizer_path
@@ -163,3 +163,14 @@ def test_fit_budget_exact():
     assert fit_budget(np.array([1_000_000, 100_000]), np.array([1, 5]), 900_000, 3).tolist() == [0, 9]
     assert fit_budget(np.array([0, 7]), np.array([5, 2]), 100).tolist() == [0, 2]
     assert fit_budget(np.array([], int), np.array([], int), 9).tolist() == []
+
+
+def test_lengths_of_many_documents_mix_alike(spark, monkeypatch):
+    rows = [(i, "w " * (1 if i % 3 else 2 + i % 40), [None, "a", "b", "c"][min(i % 7, 3)]) for i in range(900)]
+    rows += rows[:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = lambda: sorted((r.doc_id, r.taken, r.source_size, round(r.target, 6)) for r in mix(df).collect())
+    want = told()
+    for hot in (1, 5):  # all lengths, and some of them
+        monkeypatch.setattr(mixing, "HOT_ROWS", hot)
+        assert told() == want and len(want) == 930

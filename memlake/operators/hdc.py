@@ -2,18 +2,21 @@
 
 A symbol's vector is a pure function of its text, so vectors of different rows, partitions and runs
 compare. Bundling is a strict majority; a tie gives 0. ``bundle_bits`` votes in the bit domain with
-built-in functions; ``encode_texts`` is the Arrow path for many long texts and gives the same bits.
+built-in functions; ``encode_texts`` is the Arrow path for many long texts and gives the same bits, as does that of ``encode_maps``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from memlake.functions import bits, scalar
 
@@ -55,10 +58,39 @@ def encode_ngrams(texts: DataFrame, key: str, text: str, n: int, dim: int) -> Da
     return made.unionByName(short)
 
 
-def encode_maps(maps: DataFrame, key: str, entries: str, dim: int) -> DataFrame:
-    """``key, hv``: the bundle of name XOR value over the entries of a map."""
-    pairs = maps.select(key, F.explode(entries).alias("_k", "_v")).withColumn("hv", bits.bind(bits.random_vector(F.col("_k"), dim), bits.random_vector(F.col("_v"), dim)))
-    return bundle_bits(pairs, [key], pairs.select(key, F.explode(bits.bits_of(F.col("hv"))).alias("j")), dim)
+def encode_maps(maps: DataFrame, key: str, entries: str, dim: int, cache_bytes: int = 1 << 26) -> DataFrame:
+    """``key, hv``: the bundle of name XOR value over the entries of a key's maps; a null value votes for no bit, a null key gives zeros.
+
+    A key's equal entries are counted before they are gathered, and Arrow batches bundle them: nothing is joined and no bit has a row.
+    A task keeps the vectors of ``cache_bytes`` of names and values at most.
+    """
+    pairs = maps.select(key, F.explode(entries).alias("_k", "_v")).select(key, F.col("_k").cast("string").alias("_k"), F.col("_v").cast("string").alias("_v"))
+    counted = pairs.groupBy(key, "_k", "_v").agg(F.count("*").alias("_c"))
+    held = counted.groupBy(key).agg(F.collect_list(F.struct("_k", "_v", "_c")).alias("_e")).select(key, "_e._k", "_e._v", "_e._c")
+    most = max(1, cache_bytes // (dim // 8 + 128))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def vector(symbol: str) -> int:
+            if symbol not in known:
+                if len(known) >= most:
+                    known.clear()
+                known[symbol] = _symbol(symbol, dim)
+            return known[symbol]
+
+        def votes(names: list[str], values: list[str | None], counts: list[int]) -> Iterator[int]:
+            for name, value, n in zip(names, values, counts):
+                yield from repeat(0 if value is None else vector(name) ^ vector(value), n)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                made = [_bundle(votes(*row), dim) for row in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=[key, "hv"])
+
+    made = held.mapInArrow(run, StructType([held.schema[key], StructField("hv", ArrayType(LongType()))]))
+    return made.withColumn("hv", F.when(F.col(key).isNull(), bits.zeros(dim)).otherwise(F.col("hv")))
 
 
 def query_map(hv: Column, name: Column, dim: int) -> Column:

@@ -282,7 +282,9 @@ def _(spark, d):
     """What each part's map holds under its type's name, against the vector of the type."""
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), "p_type", F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string")).alias("m"))
     asked = hdc.encode_maps(p, "id", "m", DIM).select("id", hdc.query_map(F.col("hv"), F.lit("type"), DIM).alias("asked"))
-    return asked.join(p, "id").select("id", bits.hamming(F.col("asked"), bits.random_vector(F.col("p_type"), DIM)).alias("distance"))
+    held = p.select("id", F.when(F.col("p_type").isNotNull(), bits.random_vector(F.col("p_type"), DIM)).alias("held"))
+    # files are far smaller than their rows in memory, so neither side may be broadcast by its size
+    return asked.join(held.hint("merge"), "id").select("id", bits.hamming(F.col("asked"), F.col("held")).alias("distance"))
 
 
 _CONSTRAINED = "(SELECT id, st FROM r WHERE st >= 1e-9 AND created_at <= TIMESTAMP '2024-01-02 02:00:00' AND id % 10 >= 3)"

@@ -1,6 +1,7 @@
 """Registered queries that must answer for every row of their tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from memlake.operators import hdc
 from memlake.plans import registry
@@ -42,3 +43,15 @@ def test_hv_map_needs_no_broadcast(spark):
     parts = spark.read.parquet(f"{SF}/part.parquet").collect()
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.mark for r in made.collect()} == {p.p_partkey: sum(_bundled([{"brand": p.p_brand, "type": p.p_type, "size": str(p.p_size)}], 256)) for p in parts}
+
+
+def test_hv_query_map_needs_no_broadcast(spark, tmp_path):
+    p = spark.read.parquet(f"{SF}/part.parquet")
+    p.withColumn("p_type", F.when(F.col("p_partkey") % 5 != 0, F.col("p_type"))).write.parquet(str(tmp_path / "part.parquet"))
+    made = registry.QUERIES["hv_query_map"](spark, str(tmp_path))
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in spark.read.parquet(str(tmp_path / "part.parquet")).collect():
+        asked = int("".join(f"{w:08x}" for w in reversed(_bundled([{"brand": r.p_brand, "type": r.p_type, "size": str(r.p_size)}], 256))), 16) ^ hdc._symbol("type", 256)
+        want[r.p_partkey] = None if r.p_type is None else (asked ^ hdc._symbol(r.p_type, 256)).bit_count()
+    assert {r.id: r.distance for r in made.collect()} == want and None in want.values()
